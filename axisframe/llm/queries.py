@@ -6,19 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_quality
+from . import host_quality, licenses, secrets_scan, source_mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(_table(spark, sf_dir, "documents"))
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.report(_table(spark, sf_dir, "documents"))
+
+
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.report(_table(spark, sf_dir, "documents"))
+
+
 def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.report(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_host_quality,)}
+    return {f.__name__: f for f in (op2_license_index, op3_source_mix, op8_markov_secrets, op9_host_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
