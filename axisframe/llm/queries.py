@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_quality, licenses, secrets_scan, source_mix
+from . import chat_format, host_quality, licenses, packing, secrets_scan, source_mix
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.report(_table(spark, sf_dir, "documents"))
 
 
+def op4_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_table(spark, sf_dir, "documents"))
+
+
+def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(_table(spark, sf_dir, "conversations"))
+
+
 def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.report(_table(spark, sf_dir, "documents"))
 
@@ -30,7 +38,7 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_index, op3_source_mix, op8_markov_secrets, op9_host_quality)}
+    return {f.__name__: f for f in (op2_license_index, op3_source_mix, op4_bin_slack, op5_chat_parts, op8_markov_secrets, op9_host_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
