@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, host_quality, licenses, packing, secrets_scan, source_mix
+from . import chat_format, host_quality, licenses, packing, secrets_scan, source_mix, warc, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.report(_table(spark, sf_dir, "pages"))
+
+
 def op2_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(_table(spark, sf_dir, "documents"))
 
@@ -37,8 +41,12 @@ def op9_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.report(_table(spark, sf_dir, "documents"))
 
 
+def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_index, op3_source_mix, op4_bin_slack, op5_chat_parts, op8_markov_secrets, op9_host_quality)}
+    return {f.__name__: f for f in (op1_arc_to_warc, op2_license_index, op3_source_mix, op4_bin_slack, op5_chat_parts, op8_markov_secrets, op9_host_quality, op10_weighted_sampling)}
 
 
 def oracle_sql() -> dict[str, str]:
