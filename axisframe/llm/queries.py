@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, host_quality, licenses, packing, secrets_scan, source_mix, warc, weighted_sampling
+from . import chat_format, host_quality, licenses, near_dedup, packing, secrets_scan, source_mix, toxicity, warc, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,14 @@ def op5_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(_table(spark, sf_dir, "conversations"))
 
 
+def op6_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op7_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets_scan.report(_table(spark, sf_dir, "documents"))
 
@@ -46,7 +54,11 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_arc_to_warc, op2_license_index, op3_source_mix, op4_bin_slack, op5_chat_parts, op8_markov_secrets, op9_host_quality, op10_weighted_sampling)}
+    found = (
+        op1_arc_to_warc, op2_license_index, op3_source_mix, op4_bin_slack, op5_chat_parts, op6_noisy_channel_toxicity,
+        op7_circulant_minhash, op8_markov_secrets, op9_host_quality, op10_weighted_sampling,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
