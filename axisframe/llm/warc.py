@@ -67,13 +67,19 @@ def unzipped(content: bytes) -> bytes:
     return b"".join(members(content))
 
 
-def members(content: bytes) -> Iterator[bytes]:
-    while content:
-        z = zlib.decompressobj(31)
-        yield z.decompress(content) + z.flush()
-        if not z.eof:
-            raise ValueError("a gzip member is cut short")
-        content = z.unused_data
+def members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members in order. Input is fed in steps, so that what follows
+    a member is not copied over and over."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut short")
+            part = view[at : at + step]
+            out.append(z.decompress(part))
+            at += len(part) - len(z.unused_data)
+        yield b"".join(out)
 
 
 def parse_arc(content: bytes) -> Iterator[ArcRecord]:
