@@ -53,10 +53,16 @@ def op10_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.report(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_arc_to_warc, op2_license_index, op3_source_mix, op4_bin_slack, op5_chat_parts, op6_noisy_channel_toxicity,
-        op7_circulant_minhash, op8_markov_secrets, op9_host_quality, op10_weighted_sampling,
+        op7_circulant_minhash, op8_markov_secrets, op9_host_quality, op10_weighted_sampling, pipeline,
     )
     return {f.__name__: f for f in found}
 
