@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -86,6 +86,11 @@ def with_row_key(df: DataFrame, name: str = "_rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def picked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Only the named columns; further ones, whatever their names, are left."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+def boxed(df: DataFrame) -> DataFrame:
+    """All columns of ``df`` in one struct ``_row``, so that no name of theirs
+    can clash with one that an operator adds."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    return df.select("_row.*")

@@ -7,15 +7,15 @@ Only DataFrame functions are used.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null source is a host of its own; repeated rows are judged one by one; an
-empty table gives an empty result; further columns are ignored by
-:func:`measure` and carried by :func:`keep_rows`.
+empty table gives an empty result; further columns, whatever their names, are
+left out by :func:`report` and carried by :func:`keep_rows`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, once, small, text_or_empty, with_row_key, words_of, written
+from .common import SPACE, boxed, once, small, text_or_empty, unboxed, words_of, written
 
 #: The base rule.
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
@@ -94,7 +94,7 @@ def host_verdicts(measured: DataFrame, host: str = "source", max_rate: float = 0
     the binomial share of that variance is taken off first, and a + b is held
     between 1 and 1000, so that one host or equal hosts give a defined prior.
     """
-    by_host = measured.groupBy(F.col(f"`{host}`").alias("host")).agg(
+    by_host = measured.groupBy(F.col(host).alias("host")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((F.col("_m_base_failed") | F.col("_m_soft_failed")).cast("long")).alias("failed"),
     )
@@ -126,18 +126,18 @@ def judged(docs: DataFrame, text: str = "text", host: str = "source", max_rate:
     measured = written(measured.select(*[F.col(f"`{c}`") for c in carry], *[c for c in measured.columns if c.startswith("_m_")]), "measured")
     bad = host_verdicts(measured, host, max_rate).filter("bad_host").select(F.col("host").alias("_host"))
     bad = small(bad, MAX_BROADCAST_HOSTS).withColumn("_bad", F.lit(True))
-    out = measured.join(bad, F.col(f"`{host}`").eqNullSafe(F.col("_host")), "left")
+    out = measured.join(bad, F.col(host).eqNullSafe(F.col("_host")), "left")
     return out.withColumn("_m_kept", ~(F.col("_m_base_failed") | (F.coalesce(F.col("_bad"), F.lit(False)) & F.col("_m_soft_failed")))).drop("_host", "_bad")
 
 
 def keep_rows(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = 0.5) -> DataFrame:
     """The rows that are kept, with the columns of ``docs``."""
-    return judged(docs, text, host, max_rate).filter("_m_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(judged(boxed(docs), f"_row.{text}", f"_row.{host}", max_rate).filter("_m_kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """A row per document: counts and verdict, without the text."""
     m = lambda k: F.col(f"_m_{k}").alias(k)
-    return judged(docs, carry=["doc_id", "source"]).select(
+    return judged(docs.select("doc_id", "source", "text"), carry=["doc_id", "source"]).select(
         "doc_id", m("n_words"), m("word_chars"), m("n_symbols"), m("n_dup_lines"), m("n_repeat_words"), m("base_failed"), m("kept")
     )

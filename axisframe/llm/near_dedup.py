@@ -5,15 +5,16 @@ set form a class, and only classes are compared. Coordinate ``k`` of a
 signature is the least ``pi(sigma(x) + k)`` over the set: ``sigma`` and ``pi``
 are two fixed permutations of the 32-bit numbers, and adding ``k`` modulo 2^32
 shifts ``pi`` circularly. ``BANDS`` bands of ``ROWS`` coordinates name buckets:
-a pair at the threshold of 0.8 misses all of them with probability 5e-8.
+a pair at the threshold of 0.8 misses all of them with probability 1e-7.
 
 No bucket's pairs are written out. First every class of a bucket is checked
 against the smallest one only; what that links is contracted to components.
 Buckets that then still hold several components, few as a rule, are compared in
-blocks of signatures inside tasks, and only pairs of different components whose
-signatures come near the threshold leave the task. All links are confirmed on
-the full sets of both texts, and components are found by alternating large-star
-and small-star rounds on tables.
+blocks inside tasks: of pairs of different components that meet in no earlier
+bucket and whose signatures come near the threshold, the full sets are compared
+there, and of the links found only those that join components leave the task.
+All links are confirmed on the full sets of both texts, and components are
+found by alternating large-star and small-star rounds on tables.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing; one word is a set of one; equal rows form a class;
@@ -30,9 +31,9 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small, text_or_empty, with_row_key, written
+from .common import boxed, small, text_or_empty, unboxed, with_row_key, written
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
 
 #: A link needs 100 * intersection >= 80 * union.
@@ -41,7 +42,8 @@ PERCENT = 80
 #: Least agreeing coordinates of a pair worth an exact check: five standard deviations below the threshold.
 LEAST_EQUAL = int(SIZE * PERCENT / 100 - 5 * (SIZE * 0.8 * 0.2) ** 0.5)
 
-BLOCK = 1_000
+#: Rows of a block, and shingles of its rows together.
+BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
 BROADCAST_ROWS = 1_000_000
 
 
@@ -117,19 +119,40 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _near(batch: pd.DataFrame) -> pd.DataFrame:
-    """Of one block, or of two blocks of a bucket, the pairs worth a check."""
-    i, j = batch["x"].iloc[0], batch["y"].iloc[0]
-    first, second = batch[batch["block"] == i], batch[batch["block"] == j]
-    load = lambda d: (d["c"].to_numpy(), d["root"].to_numpy(), d["n"].to_numpy(), np.frombuffer(b"".join(d["sig"]), "<u4").reshape(-1, SIZE))
-    (c1, r1, n1, s1), (c2, r2, n2, s2) = load(first), load(second)
-    found = []
-    for k in range(len(c1)):
-        worth = (r2 != r1[k]) & (100 * np.minimum(n2, n1[k]) >= PERCENT * np.maximum(n2, n1[k]))
+    """Of one block, or of two blocks of a bucket, links that join components.
+
+    A pair is looked at in the first band only in which its signatures agree."""
+    i, j, band = batch["x"].iloc[0], batch["y"].iloc[0], batch["band"].iloc[0]
+    cache, texts = _WordHashes(), batch["_text"].to_numpy()
+    sets: dict[int, np.ndarray] = {}
+
+    def full(at: int) -> np.ndarray:
+        if at not in sets:
+            sets[at] = shingle_set(texts[at], cache)
+        return sets[at]
+
+    c, n, block = batch["c"].to_numpy(), batch["n"].to_numpy(), batch["block"].to_numpy()
+    sig = np.frombuffer(b"".join(batch["sig"]), "<u4").reshape(len(batch), SIZE)
+    root = batch["root"].to_numpy().copy()
+    second, found = np.flatnonzero(block == j), []
+    for k in np.flatnonzero(block == i):
+        worth = (root[second] != root[k]) & (100 * np.minimum(n[second], n[k]) >= PERCENT * np.maximum(n[second], n[k]))
         if i == j:
-            worth &= c2 > c1[k]
-        at = np.flatnonzero(worth)
-        at = at[(s2[at] == s1[k]).sum(axis=1) >= LEAST_EQUAL]
-        found += [(max(c1[k], x), min(c1[k], x)) for x in c2[at]]
+            worth &= second > k
+        at = second[worth]
+        equal = sig[at] == sig[k]
+        near = equal.sum(axis=1) >= LEAST_EQUAL
+        at, equal = at[near], equal[near]
+        if band:
+            at = at[~equal[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)]
+        for m in at:
+            if root[m] == root[k]:
+                continue
+            a, b = full(k), full(m)
+            both = len(np.intersect1d(a, b, assume_unique=True))
+            if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                found.append((max(c[k], c[m]), min(c[k], c[m])))
+                root[root == root[m]] = root[k]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -175,23 +198,28 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed links (``a``, ``b``) that connect the classes (``c``, ``n``,
     ``sig``) just as all pairs near enough would."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))))
-    places = classes.select("c", F.explode(bands).alias("bucket"))
+    key = lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("bucket"))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)
+    places = classes.select("c", "n", F.explode(bands).alias("_b")).select("c", "n", "_b.band", "_b.bucket")
     shared = places.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
     shared = written(shared.select(F.col("bucket").alias("_bucket"), "least"), "buckets")
-    members = written(places.join(small(shared, BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).select("bucket", "c", "least"), "members")
+    members = written(places.join(small(shared, BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).select("bucket", "band", "c", "n", "least"), "members")
     stars = written(confirmed(written(members.filter("c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "pairs"), texts), "links")
     roots = components(stars).select(F.col("node").alias("_node"), "root")
-    placed = members.join(small(roots, BROADCAST_ROWS), F.col("c") == F.col("_node"), "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
+    placed = members.join(small(roots, BROADCAST_ROWS), F.col("c") == F.col("_node"), "left").select("bucket", "band", "c", "n", F.coalesce("root", "c").alias("root"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
-    mixed = mixed.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rest = placed.join(small(written(mixed, "mixed"), BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    rest = rest.join(classes.select(F.col("c").alias("_c"), "n", "sig"), F.col("c") == F.col("_c"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("lo < hi")
+    parts = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    mixed = small(written(mixed.select(F.col("bucket").alias("_bucket"), parts.alias("blocks")), "mixed"), BROADCAST_ROWS)
+    rest = placed.join(mixed, F.col("bucket") == F.col("_bucket")).drop("_bucket").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    rest = written(rest, "rest")
+    needed = small(rest.select(F.col("c").alias("_need")).distinct(), BROADCAST_ROWS)
+    facts = classes.select(F.col("c").alias("_c"), "sig").join(needed, F.col("_c") == F.col("_need"), "left_semi")
+    facts = facts.join(texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi"), F.col("_c") == F.col("_rid")).drop("_rid")
+    rest = rest.join(facts, F.col("c") == F.col("_c")).drop("_c")
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
-    rest = rest.withColumn("_m", F.explode(meets)).select("bucket", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "block", "c", "root", "n", "sig")
-    near = rest.groupBy("bucket", "x", "y").applyInPandas(_near, "a long, b long").distinct()
-    return stars.unionByName(confirmed(written(near, "near"), texts))
+    rest = rest.withColumn("_m", F.explode(meets)).select("bucket", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "band", "block", "c", "root", "n", "sig", "_text")
+    return stars.unionByName(rest.groupBy("bucket", "x", "y").applyInPandas(_near, "a long, b long"))
 
 
 def _order(key: Column) -> Column:
@@ -203,7 +231,7 @@ def grouped(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     ``id`` and ``rid`` of the first row of the row's component."""
     texts = rows.select("_rid", text_or_empty(text).alias("_text"))
     signed = written(texts.mapInPandas(_signed, "_rid long, n long, cid binary, sig binary"), "signatures")
-    ids = rows.select("_rid", F.col(f"`{doc_id}`").alias("_id"))
+    ids = rows.select("_rid", F.col(doc_id).alias("_id"))
     full = signed.filter("n > 0")
     owners = ids.join(full.select(F.col("_rid").alias("_r"), "cid"), F.col("_rid") == F.col("_r")).drop("_r")
     by_class = written(owners.groupBy("cid").agg(F.min("_rid").alias("c"), F.min(_order(F.col("_id"))).alias("first")), "classes")
@@ -228,7 +256,7 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_rows(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, the one of the smallest key;
     rows with empty sets stay."""
-    rows = written(with_row_key(docs), "dedup-rows")
-    gone = grouped(rows).filter("n > 0 and _rid <> first_rid").select(F.col("_rid").alias("_key"))
+    rows = written(with_row_key(boxed(docs)), "dedup-rows")
+    gone = grouped(rows, "_row.doc_id", "_row.text").filter("n > 0 and _rid <> first_rid").select(F.col("_rid").alias("_key"))
     gone = small(written(gone, "gone"), BROADCAST_ROWS)
-    return rows.join(gone, F.col("_rid") == F.col("_key"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unboxed(rows.join(gone, F.col("_rid") == F.col("_key"), "left_anti"))

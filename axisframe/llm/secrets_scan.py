@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import once, small, text_or_empty, with_row_key, written
+from .common import boxed, once, small, text_or_empty, unboxed, with_row_key, written
 
 #: The base patterns by kind (a match of ``assign`` also needs 6 characters in its group), in the order that breaks ties.
 PATTERNS = {
@@ -157,8 +157,8 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "<secret>", text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """``docs`` with the characters of all spans replaced, overlapping and
     touching spans by one ``mark``; ``n_chars``, if there is one, follows."""
-    whole = written(with_row_key(docs), "redact-rows")
-    found = written(matched(whole.select("_rid", text), text), "secret-matches")
+    whole = written(with_row_key(boxed(docs)), "redact-rows")
+    found = written(matched(whole.select("_rid", F.col(f"_row.{text}").alias("text"))), "secret-matches")
     lists = small(written(by_document(found).select(F.col("_rid").alias("_key"), "list"), "secret-spans"), BROADCAST_ROWS)
 
     def cut(t: Column, s: Column) -> Column:
@@ -171,8 +171,8 @@ def redact(docs: DataFrame, mark: str = "<secret>", text: str = "text", n_chars:
         return F.aggregate(s, state, step, lambda a: F.concat(a["out"], F.substring(t, (a["at"] + 1).cast("int"), F.length(t))))
 
     joined = whole.join(lists, F.col("_rid") == F.col("_key"), "left")
-    new = F.when(F.col("list").isNull(), F.col(text)).otherwise(once(F.col(text), lambda t: cut(t, F.col("list"))))
-    out = joined.withColumn(text, new)
+    new = joined.withColumn("_new", F.when(F.col("list").isNotNull(), once(F.col(f"_row.{text}"), lambda t: cut(t, F.col("list")))))
+    row = F.col("_row").withField(text, F.coalesce("_new", f"_row.{text}"))
     if n_chars and n_chars in docs.columns:
-        out = out.withColumn(n_chars, F.when(F.col("list").isNull(), F.col(n_chars)).otherwise(F.length(text).cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = row.withField(n_chars, F.coalesce(F.length("_new").cast("long"), f"_row.{n_chars}"))
+    return unboxed(new.withColumn("_row", row))

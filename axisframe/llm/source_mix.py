@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import small, text_or_empty, with_row_key, word_count, written
+from .common import boxed, small, text_or_empty, unboxed, with_row_key, word_count, written
 
 #: The weights, repeated along the sources in order, and the most copies of a source.
 WEIGHTS, MAX_COPIES = (5, 2, 1), 3
@@ -137,11 +137,8 @@ def report(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def emit(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    whole = written(with_row_key(docs.withColumn("_size", word_count(text_or_empty()))), "mix-rows")
-    sizes = whole.select(F.col("doc_id"), F.col("source"), F.col("_size").alias("size"), "_rid")
+    whole = written(with_row_key(boxed(docs).withColumn("_size", word_count(text_or_empty("_row.text")))), "mix-rows")
+    sizes = whole.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_size").alias("size"), "_rid")
     taken = copies(sizes, seed).filter(F.col("copies") > 0).select(F.col("_rid").alias("_key"), "copies")
-    return (
-        whole.join(taken, F.col("_rid") == F.col("_key"))
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    joined = whole.join(taken, F.col("_rid") == F.col("_key"))
+    return unboxed(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))

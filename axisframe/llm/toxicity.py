@@ -167,15 +167,27 @@ class Scanner:
             found = self.cache[token] = max((self.weigh(w) for w in readings(token, self.model)), default=0.0)
         return found
 
+    def apart(self, letters: str) -> list[float]:
+        """Weights of words spelled apart, which may follow one another: a run
+        is decoded in overlapping pieces, and words are looked for at every
+        place of what comes out."""
+        found: dict[str, float] = {}
+        for at in range(0, max(1, len(letters) - 20), 40):
+            for word in decodings(letters[at : at + 60], self.model):
+                found[word] = self.weigh(word)
+                for i in range(len(word)):
+                    for k in range(3, 16):
+                        if word[i : i + k] in self.lexicon:
+                            found[word[i : i + k]] = self.lexicon[word[i : i + k]]
+        return list(found.values())
+
     def facts(self, text: str) -> tuple[float, float, float]:
         """(largest weight, log of the sum, share) of the words found."""
         low = text.lower()
         token, cache = self.token, self.cache
         weights = [x for x in [cache[t] if t in cache else token(t) for t in low.split()] if x]
         for m in _APART.finditer(low):
-            joined = re.sub(r"[ .\-_*~]", "", m[0]) if len(m[0]) < 80 else ""
-            if joined:
-                weights += [x for x in (max((self.weigh(w) for w in decodings(joined, self.model)), default=0.0),) if x]
+            weights += [x for x in self.apart(re.sub(r"[ .\-_*~]", "", m[0])) if x]
         if not weights:
             return 0.0, 0.0, 0.0
         return max(weights), math.log1p(sum(weights)), math.log1p(len(weights))
