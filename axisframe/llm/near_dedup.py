@@ -10,9 +10,9 @@ a pair at the threshold of 0.8 misses all of them with probability 1e-7.
 No bucket's pairs are written out. First every class of a bucket is checked
 against the smallest one only; what that links is contracted to components.
 Buckets that then still hold several components, few as a rule, are compared in
-blocks inside tasks: of pairs of different components that meet in no earlier
-bucket and whose signatures come near the threshold, the full sets are compared
-there, and of the links found only those that join components leave the task.
+blocks of signatures inside tasks; texts are brought only to rows that come
+near another. There the full sets of pairs of different components that meet in
+no earlier bucket are compared, and only links that join components leave.
 All links are confirmed on the full sets of both texts, and components are
 found by alternating large-star and small-star rounds on tables.
 
@@ -35,6 +35,8 @@ from .common import boxed, small, text_or_empty, unboxed, with_row_key, written
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
+#: The low bits of a bucket's number are its band.
+BAND_BITS, BAND_MASK = 6, 63
 
 #: A link needs 100 * intersection >= 80 * union.
 PERCENT = 80
@@ -42,8 +44,8 @@ PERCENT = 80
 #: Least agreeing coordinates of a pair worth an exact check: five standard deviations below the threshold.
 LEAST_EQUAL = int(SIZE * PERCENT / 100 - 5 * (SIZE * 0.8 * 0.2) ** 0.5)
 
-#: Rows of a block, and shingles of its rows together.
-BLOCK, BLOCK_SHINGLES = 1_000, 1_000_000
+#: Rows of a block of a bucket.
+BLOCK = 500
 BROADCAST_ROWS = 1_000_000
 
 
@@ -51,7 +53,7 @@ class _WordHashes(dict):
     """64-bit hashes of words, kept while there are few enough."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -82,14 +84,17 @@ def _permute(x: np.ndarray, a: int, b: int) -> np.ndarray:
 
 
 def signature(items: np.ndarray) -> bytes:
-    """The circulant MinHash signature of a set, little-endian."""
+    """The circulant MinHash signature of a set: a byte of each coordinate.
+
+    Equal coordinates have equal bytes; bands, buckets and comparisons all go
+    by the bytes, so what the others would find is found by them too."""
     start = _permute((items ^ (items >> np.uint64(32))).astype(np.uint32), 0x85EBCA6B, 0xC2B2AE35)
     shifts = np.arange(SIZE, dtype=np.uint32)[:, None]
     least = np.full(SIZE, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(start), 512):  # so that a block stays in the cache, however long the text
         block = _permute(start[None, i : i + 512] + shifts, 0x7FEB352D, 0x846CA68B)
         np.minimum(least, block.min(axis=1), out=least)
-    return least.astype("<u4").tobytes()
+    return least.astype(np.uint8).tobytes()
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,41 +123,57 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(good, bool), ["a", "b"]]
 
 
-def _near(batch: pd.DataFrame) -> pd.DataFrame:
-    """Of one block, or of two blocks of a bucket, links that join components.
+def _blocks(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Places of rows of the first block, with those of the second block that
+    have another root, a like size and a signature near enough, and which of
+    their coordinates are equal."""
+    i, j = batch["x"].iloc[0], batch["y"].iloc[0]
+    n, block, root = batch["n"].to_numpy(), batch["block"].to_numpy(), batch["root"].to_numpy()
+    sig = np.frombuffer(b"".join(batch["sig"]), np.uint8).reshape(len(batch), SIZE)
+    second = np.flatnonzero(block == j)
+    for k in np.flatnonzero(block == i):
+        worth = (root[second] != root[k]) & (100 * np.minimum(n[second], n[k]) >= PERCENT * np.maximum(n[second], n[k]))
+        if i == j:
+            worth &= second > k
+        at = second[worth]
+        if len(at):
+            equal = sig[at] == sig[k]
+            near = np.count_nonzero(equal, axis=1) >= LEAST_EQUAL
+            if near.any():
+                yield k, at[near], equal[near]
+
+
+def _touching(batch: pd.DataFrame) -> pd.DataFrame:
+    """The rows of one or two blocks of a bucket that come near another."""
+    found = np.zeros(len(batch), bool)
+    for k, at, _ in _blocks(batch):
+        found[k] = True
+        found[at] = True
+    return batch.loc[found, ["bucket", "x", "y", "block", "c", "root", "n"]]
 
-    A pair is looked at in the first band only in which its signatures agree."""
-    i, j, band = batch["x"].iloc[0], batch["y"].iloc[0], batch["band"].iloc[0]
-    cache, texts = _WordHashes(), batch["_text"].to_numpy()
-    sets: dict[int, np.ndarray] = {}
+
+def _near(batch: pd.DataFrame) -> pd.DataFrame:
+    """Links of one or two blocks of a bucket that join components. A pair is
+    looked at in the first band only in which its signatures agree."""
+    band = int(batch["bucket"].iloc[0]) & BAND_MASK
+    c, texts, root = batch["c"].to_numpy(), batch["_text"].to_numpy(), batch["root"].to_numpy().copy()
+    cache, sets, found = _WordHashes(), {}, []
 
     def full(at: int) -> np.ndarray:
         if at not in sets:
             sets[at] = shingle_set(texts[at], cache)
         return sets[at]
 
-    c, n, block = batch["c"].to_numpy(), batch["n"].to_numpy(), batch["block"].to_numpy()
-    sig = np.frombuffer(b"".join(batch["sig"]), "<u4").reshape(len(batch), SIZE)
-    root = batch["root"].to_numpy().copy()
-    second, found = np.flatnonzero(block == j), []
-    for k in np.flatnonzero(block == i):
-        worth = (root[second] != root[k]) & (100 * np.minimum(n[second], n[k]) >= PERCENT * np.maximum(n[second], n[k]))
-        if i == j:
-            worth &= second > k
-        at = second[worth]
-        equal = sig[at] == sig[k]
-        near = equal.sum(axis=1) >= LEAST_EQUAL
-        at, equal = at[near], equal[near]
+    for k, at, equal in _blocks(batch):
         if band:
             at = at[~equal[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)]
         for m in at:
-            if root[m] == root[k]:
-                continue
-            a, b = full(k), full(m)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            if 100 * both >= PERCENT * (len(a) + len(b) - both):
-                found.append((max(c[k], c[m]), min(c[k], c[m])))
-                root[root == root[m]] = root[k]
+            if root[m] != root[k]:
+                a, b = full(k), full(m)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                if 100 * both >= PERCENT * (len(a) + len(b) - both):
+                    found.append((max(c[k], c[m]), min(c[k], c[m])))
+                    root[root == root[m]] = root[k]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -198,28 +219,29 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
 def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     """Confirmed links (``a``, ``b``) that connect the classes (``c``, ``n``,
     ``sig``) just as all pairs near enough would."""
-    key = lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.substring("sig", i * 4 * ROWS + 1, F.lit(4 * ROWS))).alias("bucket"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)
-    places = classes.select("c", "n", F.explode(bands).alias("_b")).select("c", "n", "_b.band", "_b.bucket")
+    key = lambda i: F.shiftleft(F.xxhash64(i, F.substring("sig", i * ROWS + 1, F.lit(ROWS))), BAND_BITS).bitwiseOR(i.cast("long"))
+    places = classes.select("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("bucket"))
     shared = places.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
     shared = written(shared.select(F.col("bucket").alias("_bucket"), "least"), "buckets")
-    members = written(places.join(small(shared, BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).select("bucket", "band", "c", "n", "least"), "members")
+    members = written(places.join(small(shared, BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).select("bucket", "c", "least"), "members")
     stars = written(confirmed(written(members.filter("c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "pairs"), texts), "links")
     roots = components(stars).select(F.col("node").alias("_node"), "root")
-    placed = members.join(small(roots, BROADCAST_ROWS), F.col("c") == F.col("_node"), "left").select("bucket", "band", "c", "n", F.coalesce("root", "c").alias("root"))
+    placed = members.join(small(roots, BROADCAST_ROWS), F.col("c") == F.col("_node"), "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
     placed = written(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("lo < hi")
-    parts = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    mixed = small(written(mixed.select(F.col("bucket").alias("_bucket"), parts.alias("blocks")), "mixed"), BROADCAST_ROWS)
-    rest = placed.join(mixed, F.col("bucket") == F.col("_bucket")).drop("_bucket").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    rest = written(rest, "rest")
-    needed = small(rest.select(F.col("c").alias("_need")).distinct(), BROADCAST_ROWS)
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
+    mixed = mixed.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rest = placed.join(small(written(mixed, "mixed"), BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).drop("_bucket")
+    rest = rest.join(classes.select(F.col("c").alias("_c"), "n", "sig"), F.col("c") == F.col("_c")).drop("_c")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
+    rest = rest.withColumn("_m", F.explode(meets)).select("bucket", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "block", "c", "root", "n", "sig")
+    touching = rest.groupBy("bucket", "x", "y").applyInPandas(_touching, "bucket long, x int, y int, block int, c long, root long, n long")
+    touching = written(touching, "touching")
+    needed = small(touching.select(F.col("c").alias("_need")).distinct(), BROADCAST_ROWS)
     facts = classes.select(F.col("c").alias("_c"), "sig").join(needed, F.col("_c") == F.col("_need"), "left_semi")
     facts = facts.join(texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi"), F.col("_c") == F.col("_rid")).drop("_rid")
-    rest = rest.join(facts, F.col("c") == F.col("_c")).drop("_c")
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
-    rest = rest.withColumn("_m", F.explode(meets)).select("bucket", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "band", "block", "c", "root", "n", "sig", "_text")
-    return stars.unionByName(rest.groupBy("bucket", "x", "y").applyInPandas(_near, "a long, b long"))
+    last = touching.join(facts, F.col("c") == F.col("_c")).drop("_c")
+    return stars.unionByName(last.groupBy("bucket", "x", "y").applyInPandas(_near, "a long, b long"))
 
 
 def _order(key: Column) -> Column:
