@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..operators.base import ArrayError
@@ -156,8 +157,6 @@ class LambertConic:
         lon = m.atan2(dx, dy) * (180 / math.pi / self.n) + self.lon0
         if m is _Numbers:
             return lon, math.degrees(_latitude(psi))
-        import pandas as pd
-
         @F.pandas_udf("double")
         def back(p: pd.Series) -> pd.Series:
             import numpy as np

@@ -213,7 +213,8 @@ class Base:
 
     def flat(self) -> list:
         """All values in C order, on the driver; for small arrays."""
-        return [r[V] for r in self.df.orderBy(*[P(d) for d in self.dims]).select(V).collect()]
+        ordered = self.df.orderBy(*[P(d) for d in self.dims]) if self.dims else self.df
+        return [r[V] for r in ordered.select(V).collect()]
 
     def at(self, *index: int):
         if len(index) != len(self.dims) or any(not 0 <= i < self.size(d) for i, d in zip(index, self.dims)):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 from ..functions import numeric
@@ -18,13 +19,11 @@ class Scalar:
 
     def apply_python(self, f: Callable[[float], float]):
         """A Python function of one number, run over Arrow batches."""
-        import pandas as pd
-
         @F.pandas_udf("double")
         def run(x: pd.Series) -> pd.Series:
             return x.map(f)
 
-        return self.apply(lambda v: run(v.cast("double")))
+        return self.apply(lambda v: numeric.or_nan(run(v.cast("double"))))
 
     def clip(self, low: float, high: float):
         return self.apply(lambda v: numeric.clip(v, low, high))
