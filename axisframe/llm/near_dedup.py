@@ -10,9 +10,9 @@ a pair at the threshold of 0.8 misses all of them with probability 1e-7.
 No bucket's pairs are written out. First every class of a bucket is checked
 against the smallest one only; what that links is contracted to components.
 Buckets that then still hold several components, few as a rule, are compared in
-blocks of signatures inside tasks; texts are brought only to rows that come
-near another. There the full sets of pairs of different components that meet in
-no earlier bucket are compared, and only links that join components leave.
+blocks inside tasks: of pairs of different components that meet in no earlier
+bucket and whose signatures come near the threshold the full sets are compared
+there, and only links that join components leave.
 All links are confirmed on the full sets of both texts, and components are
 found by alternating large-star and small-star rounds on tables.
 
@@ -45,7 +45,7 @@ PERCENT = 80
 LEAST_EQUAL = int(SIZE * PERCENT / 100 - 5 * (SIZE * 0.8 * 0.2) ** 0.5)
 
 #: Rows of a block of a bucket.
-BLOCK = 500
+BLOCK = 800
 BROADCAST_ROWS = 1_000_000
 
 
@@ -123,40 +123,17 @@ def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.loc[np.array(good, bool), ["a", "b"]]
 
 
-def _blocks(batch: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Places of rows of the first block, with those of the second block that
-    have another root, a like size and a signature near enough, and which of
-    their coordinates are equal."""
-    i, j = batch["x"].iloc[0], batch["y"].iloc[0]
-    n, block, root = batch["n"].to_numpy(), batch["block"].to_numpy(), batch["root"].to_numpy()
-    sig = np.frombuffer(b"".join(batch["sig"]), np.uint8).reshape(len(batch), SIZE)
-    second = np.flatnonzero(block == j)
-    for k in np.flatnonzero(block == i):
-        worth = (root[second] != root[k]) & (100 * np.minimum(n[second], n[k]) >= PERCENT * np.maximum(n[second], n[k]))
-        if i == j:
-            worth &= second > k
-        at = second[worth]
-        if len(at):
-            equal = sig[at] == sig[k]
-            near = np.count_nonzero(equal, axis=1) >= LEAST_EQUAL
-            if near.any():
-                yield k, at[near], equal[near]
-
-
-def _touching(batch: pd.DataFrame) -> pd.DataFrame:
-    """The rows of one or two blocks of a bucket that come near another."""
-    found = np.zeros(len(batch), bool)
-    for k, at, _ in _blocks(batch):
-        found[k] = True
-        found[at] = True
-    return batch.loc[found, ["bucket", "x", "y", "block", "c", "root", "n"]]
-
-
 def _near(batch: pd.DataFrame) -> pd.DataFrame:
-    """Links of one or two blocks of a bucket that join components. A pair is
-    looked at in the first band only in which its signatures agree."""
-    band = int(batch["bucket"].iloc[0]) & BAND_MASK
-    c, texts, root = batch["c"].to_numpy(), batch["_text"].to_numpy(), batch["root"].to_numpy().copy()
+    """Of one block, or of two blocks of a bucket, links that join components.
+
+    A pair of like sizes and different roots is looked at in the first band
+    only in which its signatures agree, then by its signatures as a whole, and
+    last by its full sets."""
+    i, j, band = batch["x"].iloc[0], batch["y"].iloc[0], int(batch["bucket"].iloc[0]) & BAND_MASK
+    c, n, block, texts = (batch[k].to_numpy() for k in ("c", "n", "block", "_text"))
+    root = batch["root"].to_numpy().copy()
+    sig = np.frombuffer(b"".join(batch["sig"]), np.uint8).reshape(len(batch), SIZE)
+    earlier = sig[:, : band * ROWS].reshape(len(batch), band, ROWS).astype(np.uint64) @ (1 << np.arange(0, 8 * ROWS, 8, dtype=np.uint64))
     cache, sets, found = _WordHashes(), {}, []
 
     def full(at: int) -> np.ndarray:
@@ -164,9 +141,15 @@ def _near(batch: pd.DataFrame) -> pd.DataFrame:
             sets[at] = shingle_set(texts[at], cache)
         return sets[at]
 
-    for k, at, equal in _blocks(batch):
-        if band:
-            at = at[~equal[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)]
+    second = np.flatnonzero(block == j)
+    least, most = -(-n * PERCENT // 100), n * 100 // PERCENT
+    for k in np.flatnonzero(block == i):
+        own = second[second > k] if i == j else second
+        at = own[(root[own] != root[k]) & (n[own] >= least[k]) & (n[own] <= most[k])]
+        if band and len(at):
+            at = at[~(earlier[at] == earlier[k]).any(axis=1)]
+        if len(at):
+            at = at[np.count_nonzero(sig[at] == sig[k], axis=1) >= LEAST_EQUAL]
         for m in at:
             if root[m] != root[k]:
                 a, b = full(k), full(m)
@@ -231,17 +214,14 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).filter("lo < hi")
     mixed = mixed.select(F.col("bucket").alias("_bucket"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     rest = placed.join(small(written(mixed, "mixed"), BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).drop("_bucket")
-    rest = rest.join(classes.select(F.col("c").alias("_c"), "n", "sig"), F.col("c") == F.col("_c")).drop("_c")
-    rest = rest.withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
-    rest = rest.withColumn("_m", F.explode(meets)).select("bucket", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "block", "c", "root", "n", "sig")
-    touching = rest.groupBy("bucket", "x", "y").applyInPandas(_touching, "bucket long, x int, y int, block int, c long, root long, n long")
-    touching = written(touching, "touching")
-    needed = small(touching.select(F.col("c").alias("_need")).distinct(), BROADCAST_ROWS)
-    facts = classes.select(F.col("c").alias("_c"), "sig").join(needed, F.col("_c") == F.col("_need"), "left_semi")
+    rest = written(rest, "rest")
+    needed = small(rest.select(F.col("c").alias("_need")).distinct(), BROADCAST_ROWS)
+    facts = classes.select(F.col("c").alias("_c"), "n", "sig").join(needed, F.col("_c") == F.col("_need"), "left_semi")
     facts = facts.join(texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi"), F.col("_c") == F.col("_rid")).drop("_rid")
-    last = touching.join(facts, F.col("c") == F.col("_c")).drop("_c")
-    return stars.unionByName(last.groupBy("bucket", "x", "y").applyInPandas(_near, "a long, b long"))
+    rest = rest.join(facts, F.col("c") == F.col("_c")).drop("_c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
+    rest = rest.withColumn("_m", F.explode(meets)).select("bucket", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "block", "c", "root", "n", "sig", "_text")
+    return stars.unionByName(rest.groupBy("bucket", "x", "y").applyInPandas(_near, "a long, b long"))
 
 
 def _order(key: Column) -> Column:
