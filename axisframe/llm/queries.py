@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, host_quality, licenses, near_dedup, packing, secrets_scan, source_mix, toxicity, warc, weighted_sampling
+from . import chat_format, host_quality, licenses, near_dedup, oracle, packing, secrets_scan, source_mix, toxicity, warc, weighted_sampling
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,4 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For those whose result SQL expresses on whole tables; the others are
+    tested against brute force."""
+    return {
+        "op1_arc_to_warc": oracle.PAGES,
+        "op5_chat_parts": oracle.CHATS,
+        "op7_circulant_minhash": oracle.NEAR,
+        "op9_host_quality": oracle.QUALITY,
+    }

@@ -336,4 +336,4 @@ def report(pages: DataFrame) -> DataFrame:
     targets = back.filter("record_type = 'revisit'").select(F.col("to_id").alias("_to")).distinct()
     named = back.join(small(targets, BROADCAST_ROWS), F.col("record_id") == F.col("_to")).select("_to", F.col("page_id").alias("refers_to"))
     out = back.join(small(named, BROADCAST_ROWS), F.col("to_id") == F.col("_to"), "left")
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
