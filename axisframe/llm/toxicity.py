@@ -49,6 +49,8 @@ BETWEEN = frozenset(".-_~'`^/\\*,: ")
 #: Costs in nats of reading a sign as a letter, of a less likely reading, of dropping a repeated letter, of dropping a sign.
 READ_COST, LESS_COST, REPEAT_COST, DROP_COST = 0.7, 0.7, 0.3, 0.7
 
+OTHER = "~"
+_REST = re.compile(r"[^a-z]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _PURE = re.compile(r"[^\W\d_]+\Z")
 _EDGE = re.compile(r"^[^\w@$!|+(€£¡*]+|[^\w@$]+\Z|^[*]+|[#%&|<>*$]+\Z")
@@ -60,14 +62,15 @@ _RUN = re.compile(r"(.)\1\1")
 @dataclass
 class CharModel:
     """Trigrams of letters with counts, backed off to bigrams and a flat rest;
-    words begin with two and end with one ``^``."""
+    words begin with two and end with one ``^``. Letters beyond a-z share one
+    symbol, so a model has at most 28 ** 3 trigrams, however large the corpus."""
 
     three: Counter = field(default_factory=Counter)
     two: Counter = field(default_factory=Counter)
     _cost: dict = field(default_factory=dict)
 
     def add(self, word: str, times: int = 1) -> None:
-        w = f"^^{word}^"
+        w = f"^^{_REST.sub(OTHER, word)}^"
         for i in range(2, len(w)):
             self.three[w[i - 2 : i + 1]] += times
 
@@ -84,8 +87,9 @@ class CharModel:
     def cost(self, a: str, b: str, c: str) -> float:
         found = self._cost.get((a, b, c))
         if found is None:
-            low = (self.two[b + c] + 0.02) / (self._one[b] + 1.0)
-            found = self._cost[a, b, c] = -math.log((self.three[a + b + c] + 3.0 * low) / (self._pair[a + b] + 3.0))
+            x, y, z = (ch if ch == "^" or "a" <= ch <= "z" else OTHER for ch in (a, b, c))
+            low = (self.two[y + z] + 0.02) / (self._one[y] + 1.0)
+            found = self._cost[a, b, c] = -math.log((self.three[x + y + z] + 3.0 * low) / (self._pair[x + y] + 3.0))
         return found
 
 
@@ -194,26 +198,30 @@ class Scanner:
 
 
 def char_model(docs: DataFrame, text: str = "_text") -> CharModel:
-    """Letter trigrams of all documents; at most some thousand rows come back,
-    as only letters of at least 50 occurrences in a part are told apart."""
+    """Letter trigrams of the plain words of all documents, counted in parts;
+    what comes to the driver is bounded by the alphabet."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = CharModel()
+        model, words = CharModel(), Counter()
+
+        def flush() -> None:
+            for w, n in words.items():
+                core = _EDGE.sub("", w)
+                if _PURE.match(core):
+                    model.add(core, n)
+            words.clear()
+
         for batch in batches:
-            words: Counter = Counter()
             for t in batch[text]:
                 words.update(t.lower().split())
-            for w, n in words.items():
-                if n > 1 or len(w) < 12:
-                    core = _EDGE.sub("", w)
-                    if _PURE.match(core):
-                        model.add(core, n)
+                if len(words) > 300_000:
+                    flush()
+        flush()
         yield pd.DataFrame(list(model.three.items()), columns=["three", "n"])
 
     rows = docs.select(text).mapInPandas(count, "three string, n long").groupBy("three").agg(F.sum("n").alias("n"))
-    kept = rows.orderBy(F.desc("n"), "three").limit(200_000).collect()  # trigrams of letters, not of documents: bounded by alphabets
     model = CharModel()
-    for r in kept:
+    for r in rows.collect():  # at most 28 ** 3 rows
         model.three[r["three"]] = r["n"]
     return model.close()
 
