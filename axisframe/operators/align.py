@@ -24,7 +24,7 @@ def _same_axis(a, b, dim: str) -> bool:
         return True
     if a.size(dim) != b.size(dim):
         return False
-    mark = lambda x: x.axis(dim).agg(F.count(F.lit(1)), F.sum(F.shiftright(F.xxhash64(P(dim), F.col(L(dim)).cast("double")), 16)), F.count(F.when(F.isnan(F.col(L(dim)).cast("double")), 1))).first()
+    mark = lambda x: x.axis(dim).agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(P(dim), F.col(L(dim)).cast("double"))), F.count(F.when(F.isnan(F.col(L(dim)).cast("double")), 1))).first()
     left, right = mark(a), mark(b)
     return tuple(left) == tuple(right) and not left[2]
 
