@@ -91,6 +91,7 @@ class Base:
         self.labelled = frozenset(labelled) & set(dims)
         self.texts = frozenset(texts) & set(dims)
         self.name, self.attrs, self.coord_attrs = name, dict(attrs or {}), copy.deepcopy(coord_attrs or {})
+        self._axes: dict[str, DataFrame] = {}  # known without a look at the cells
         self.df = df.select(*self.columns())
 
     def columns(self, without: str | None = None) -> list[str]:
@@ -138,13 +139,16 @@ class Base:
         absent; :meth:`dense` fills them."""
         value = F.col(value) if isinstance(value, str) else value
         out = table.select(*[F.col(d) for d in dims], value.alias(V))
-        sizes = {}
+        sizes, axes = {}, {}
         for d in dims:
             axis = number(out.select(d).distinct(), [F.col(d).asc()], P(d)).withColumnRenamed(d, "_label")
             sizes[d] = axis.count()
+            axes[d] = axis.select(P(d), F.col("_label").alias(T(d) if d in text_dims else L(d)))
             out = out.join(small(axis), F.col(d) == F.col("_label")).drop("_label")
             out = out.withColumnRenamed(d, T(d) if d in text_dims else L(d))
-        return cls(out, dims, sizes, [d for d in dims if d not in text_dims], text_dims, name)
+        made = cls(out, dims, sizes, [d for d in dims if d not in text_dims], text_dims, name)
+        made._axes = axes
+        return made
 
     # -- metadata
     def size(self, dim: str) -> int:
@@ -197,6 +201,8 @@ class Base:
     def axis(self, dim: str) -> DataFrame:
         """Distinct positions of a dimension with their labels."""
         self.need(dim)
+        if dim in self._axes:
+            return self._axes[dim]
         label = [L(dim)] if dim in self.labelled else []
         text = [T(dim)] if dim in self.texts else []
         return self.df.groupBy(P(dim)).agg(*[F.first(c).alias(c) for c in [*label, *text]] or [F.count(F.lit(1)).alias("_n")]).select(P(dim), *label, *text)

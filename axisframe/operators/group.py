@@ -23,18 +23,23 @@ class Grouped:
         cells = self.array.df if self.keep is None else self.array.df.filter(self.keep)
         return cells.withColumn("_bucket", self.bucket)
 
+    def _buckets(self):
+        """Distinct bucket labels, from the axis alone."""
+        axis = self.array.axis(self.dim)
+        return (axis if self.keep is None else axis.filter(self.keep)).select(self.bucket.alias("_bucket")).distinct()
+
     def labels(self) -> list:
-        return sorted(r[0] for r in self._cells().select("_bucket").distinct().collect())  # a row per group
+        return sorted(r[0] for r in self._buckets().collect())  # a row per group
 
     def n_groups(self) -> int:
-        return self._cells().select("_bucket").distinct().count()
+        return self._buckets().count()
 
     def agg(self, how: str | Callable[[Column, Column], Column]):
         a, d = self.array, self.dim
         f = AGGREGATES[how] if isinstance(how, str) else how
         keys = [c for c in a.keys([d]) if not c.startswith("T_")]
         out = self._cells().groupBy("_bucket", *keys).agg(f(F.col(V), F.col(P(d))).alias(V))
-        axis = number(self._cells().select("_bucket").distinct().withColumnRenamed("_bucket", "_b"), [F.col("_b")], P(d))
+        axis = number(self._buckets().withColumnRenamed("_bucket", "_b"), [F.col("_b")], P(d))
         out = out.join(small(axis), F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn(L(d), F.col("_bucket"))
         dims = [d, *[x for x in a.dims if x != d]]
         return a._new(out, dims=dims, sizes=a._sizes | {d: None}, labelled=a.labelled | {d}, texts=())
