@@ -35,7 +35,7 @@ ORDINARY = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-](?:[A-Z]?[a-z]+|[A-Z]+|[0-
 PROVEN = r"^(?:AKIA[A-Z0-9]{16,}|(?=[a-f]*[0-9])[0-9a-f]{24,})$"
 
 ALPHABET = 66
-SMOOTHING = 0.5
+SMOOTHING = 0.1
 MARGIN = 0.35
 N_GENERATED = 3_000
 BROADCAST_ROWS = 200_000
