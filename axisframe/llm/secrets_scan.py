@@ -3,9 +3,12 @@ against ordinary identifiers.
 
 Two first-order models over characters are counted from labelled samples:
 tokens of the corpus that a fixed pattern proves to be secrets and generated
-random strings on the one side, plain words, numbers and joined words on the
-other. A long token is a secret if the log-likelihood ratio of the two models
-exceeds ``MARGIN`` per character. Offsets are code points: the text is split
+random strings on the one side, fixed plain words and the words and joined words
+of the corpus on the other. Random letters look like a word to a pattern, so a
+word of the corpus is a sample only if the models of the fixed samples alone
+find it ordinary; each counts once, however often it is repeated. A long token is a secret if the log-likelihood ratio of the two models
+exceeds ``MARGIN`` per character; only numbers, also joined ones, are never
+secrets by the models. Offsets are code points: the text is split
 at the matches, and the lengths of pieces and matches are summed in order.
 Only DataFrame functions are used.
 
@@ -19,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import boxed, once, small, text_or_empty, unboxed, with_row_key, written
+from .plain_words import plain_samples
 
 #: The base patterns by kind (a match of ``assign`` also needs 6 characters in its group), in the order that breaks ties.
 PATTERNS = {
@@ -30,14 +34,14 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 ASSIGN_LEAST = 6
 
-#: What proves a sample to be ordinary: words joined by one sign, any one case, or digits alone.
+#: What makes a token with letters an ordinary sample, and one without a number: words joined by one sign, any one case, or digits alone.
 ORDINARY = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*$"
 PROVEN = r"^(?:AKIA[A-Z0-9]{16,}|(?=[a-f]*[0-9])[0-9a-f]{24,})$"
 
 ALPHABET = 66
 SMOOTHING = 0.1
 MARGIN = 0.35
-N_GENERATED = 3_000
+N_GENERATED = 6_000
 BROADCAST_ROWS = 200_000
 
 
@@ -83,10 +87,13 @@ def _pairs(tokens: DataFrame) -> DataFrame:
 
 
 def generated(spark: SparkSession, n: int = N_GENERATED) -> DataFrame:
-    """Random strings over base 16, 62 and 64, the same in each run."""
+    """Random strings over base 16, 62 and 64 and over letters of one case,
+    whole and in fours, the same in each run."""
     hexed = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")), 256)
     b64 = F.rtrim(F.base64(F.unhex(hexed)), F.lit("="))
-    token = F.when(F.col("id") % 3 == 0, hexed).when(F.col("id") % 3 == 1, b64).otherwise(F.regexp_replace(b64, "[+/]", ""))
+    letters = F.regexp_replace(F.lower(b64), "[^a-z]", "")
+    kinds = [hexed, b64, F.regexp_replace(b64, "[+/]", ""), letters, F.upper(letters), F.regexp_replace(letters, "(.{4})(?=.)", "$1-")]
+    token = F.get(F.array(*kinds), (F.col("id") % len(kinds)).cast("int"))
     return spark.range(n).select(token.alias("token"), F.lit(1).alias("label"))
 
 
@@ -126,8 +133,12 @@ def spans(found: DataFrame, margin: float = MARGIN) -> DataFrame:
     base = every.filter((F.col("rank") < 3) & (F.col("value") >= ASSIGN_LEAST))
     tokens = every.filter("rank = 3")
     label = F.when(F.col("token").rlike(PROVEN), 1).when(F.col("token").rlike(ORDINARY) & F.col("token").rlike("[A-Za-z]"), 0)
-    samples = tokens.select("token", label.alias("label")).filter(F.col("label").isNotNull())
-    secret = scored(tokens, trained(samples.unionByName(generated(spark)))).filter((F.col("ratio") > margin) & ~F.col("token").rlike(ORDINARY))
+    samples = tokens.select("token").distinct().withColumn("label", label).filter(F.col("label").isNotNull())
+    fixed = generated(spark).unionByName(spark.createDataFrame([(w, 0) for w in plain_samples()], "token string, label int"))
+    plain = scored(samples.filter("label = 0"), trained(fixed)).filter(F.col("ratio") <= margin).select("token", F.lit(0).alias("label"))
+    samples = samples.filter("label = 1").unionByName(plain).unionByName(fixed)
+    number = F.col("token").rlike(ORDINARY) & ~F.col("token").rlike("[A-Za-z]")
+    secret = scored(tokens, trained(samples)).filter((F.col("ratio") > margin) & ~number)
     by_model = tokens.join(secret.select("token"), "token", "left_semi")
     names = F.array(*[F.lit(k) for k in KINDS])
     return base.unionByName(by_model).select("_rid", "rank", F.get(names, F.col("rank")).alias("kind"), "start", "end")
