@@ -7,7 +7,10 @@ random strings on the one side, fixed plain words and the words and joined words
 of the corpus on the other. Random letters look like a word to a pattern, so a
 word of the corpus is a sample only if the models of the fixed samples alone
 find it ordinary; each counts once, however often it is repeated. A long token is a secret if the log-likelihood ratio of the two models
-exceeds ``MARGIN`` per character; only numbers, also joined ones, are never
+exceeds ``MARGIN`` per character over the whole token, or over a stretch of it of
+``LEAST`` characters or more that begins and ends at a sign or an end of the
+token, so that a path or a name before a key does not hide it; numbers between
+signs count as neutral in stretches. The span is the whole token. Only numbers, also joined ones, are never
 secrets by the models. Offsets are code points: the text is split
 at the matches, and the lengths of pieces and matches are summed in order.
 Only DataFrame functions are used.
@@ -38,6 +41,12 @@ ASSIGN_LEAST = 6
 ORDINARY = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*$"
 PROVEN = r"^(?:AKIA[A-Z0-9]{16,}|(?=[a-f]*[0-9])[0-9a-f]{24,})$"
 
+#: Fixed value: the signs at which a stretch of a token may begin or end.
+SIGNS = "+/_=-"
+LEAST = 16
+#: Fixed value: each digit of the parts between signs that have digits alone.
+NUMBER = r"(?:\G(?!^)|(?<![A-Za-z0-9])(?=[0-9]++(?![A-Za-z0-9])))[0-9]"
+
 ALPHABET = 66
 SMOOTHING = 0.1
 MARGIN = 0.35
@@ -114,15 +123,25 @@ def trained(samples: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
     return seen.unionByName(totals.select(F.col("b").alias("before"), F.lit(None).cast("string").alias("now"), ratio(F.lit(0), F.lit(0)).alias("ratio")))
 
 
-def scored(tokens: DataFrame, model: DataFrame) -> DataFrame:
-    """Distinct ``token`` values with ``ratio``, the mean per character."""
+def scored(tokens: DataFrame, model: DataFrame, margin: float = MARGIN) -> DataFrame:
+    """Distinct ``token`` values with ``ratio``, the mean per character of the
+    whole token, and ``surplus``, by how much the sum over the best of its
+    stretches exceeds ``margin`` per character (null if it has none)."""
     model = small(written(model, "markov"), ALPHABET * (ALPHABET + 2))
     exact = model.filter(F.col("now").isNotNull()).select(F.col("before").alias("b1"), F.col("now").alias("n1"), F.col("ratio").alias("r1"))
     other = model.filter(F.col("now").isNull()).select(F.col("before").alias("b2"), F.col("ratio").alias("r2"))
-    pairs = _pairs(tokens.select("token").distinct())
+    keyed = written(with_row_key(tokens.select("token").distinct(), "_tid"), "tokens")
+    pairs = _pairs(keyed.withColumn("_mask", F.regexp_replace("token", NUMBER, "#"))).withColumn("_mask", F.expr("substring(_mask, _i, 1)"))
     joined = pairs.join(F.broadcast(exact), (F.col("before") == F.col("b1")) & (F.col("now") == F.col("n1")), "left")
     joined = joined.join(F.broadcast(other), F.col("before") == F.col("b2"), "left")
-    return joined.groupBy("token").agg(F.avg(F.coalesce("r1", "r2", F.lit(0.0))).alias("ratio"))
+    sign = lambda c: F.col(c).isin("", *SIGNS)
+    along = Window.partitionBy("_tid").orderBy("_i")
+    early = along.rowsBetween(Window.unboundedPreceding, 1 - LEAST)
+    rows = joined.select("_tid", "_i", "before", "now", "_mask", F.coalesce("r1", "r2", F.lit(0.0)).alias("x"))
+    rows = rows.withColumn("over", F.when(F.col("_mask") == "#", 0.0).otherwise(F.col("x")) - margin).withColumn("sum", F.sum("over").over(along))
+    rows = rows.withColumn("start", F.when(sign("before"), F.col("sum") - F.col("over"))).withColumn("next", F.lead("now", 1, "").over(along))
+    rows = rows.withColumn("surplus", F.when(sign("next"), F.col("sum") - F.min("start").over(early)))
+    return keyed.join(rows.groupBy("_tid").agg(F.avg("x").alias("ratio"), F.max("surplus").alias("surplus")), "_tid").drop("_tid")
 
 
 def spans(found: DataFrame, margin: float = MARGIN) -> DataFrame:
@@ -135,10 +154,11 @@ def spans(found: DataFrame, margin: float = MARGIN) -> DataFrame:
     label = F.when(F.col("token").rlike(PROVEN), 1).when(F.col("token").rlike(ORDINARY) & F.col("token").rlike("[A-Za-z]"), 0)
     samples = tokens.select("token").distinct().withColumn("label", label).filter(F.col("label").isNotNull())
     fixed = generated(spark).unionByName(spark.createDataFrame([(w, 0) for w in plain_samples()], "token string, label int"))
-    plain = scored(samples.filter("label = 0"), trained(fixed)).filter(F.col("ratio") <= margin).select("token", F.lit(0).alias("label"))
+    random = (F.col("ratio") > margin) | (F.coalesce("surplus", F.lit(0.0)) > 0)
+    plain = scored(samples.filter("label = 0"), trained(fixed), margin).filter(~random).select("token", F.lit(0).alias("label"))
     samples = samples.filter("label = 1").unionByName(plain).unionByName(fixed)
     number = F.col("token").rlike(ORDINARY) & ~F.col("token").rlike("[A-Za-z]")
-    secret = scored(tokens, trained(samples)).filter((F.col("ratio") > margin) & ~number)
+    secret = scored(tokens, trained(samples), margin).filter(random & ~number)
     by_model = tokens.join(secret.select("token"), "token", "left_semi")
     names = F.array(*[F.lit(k) for k in KINDS])
     return base.unionByName(by_model).select("_rid", "rank", F.get(names, F.col("rank")).alias("kind"), "start", "end")
