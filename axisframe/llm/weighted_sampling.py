@@ -2,7 +2,8 @@
 
 Terms are words, weighted by how often a text has them. For coordinate ``k``
 and a term the random values r, c ~ Gamma(2, 1) and b ~ U(0, 1) follow from a
-hash of both alone. With t = floor(ln(weight) / r + b) the sample of a term is
+hash of both alone; r and c are drawn as -ln(u v) from uniform u and v, so that
+their tails, which decide the minimum of a long text, are not cut. With t = floor(ln(weight) / r + b) the sample of a term is
 ln(a) = ln(c) - r (t - b + 1), and the smallest one over the text's terms is
 the coordinate. The minimum names its term and t, as equal values come only
 from equal (term, t), so two texts agree in a coordinate with the probability
@@ -20,8 +21,6 @@ document is its own successor; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import SPACE, text_or_empty
@@ -29,51 +28,39 @@ from .common import SPACE, text_or_empty
 #: Coordinates of a signature.
 SIZE = 64
 
-#: Quantiles in the tables of r and ln(c), from the rule in :func:`gamma_quantiles`.
-STEPS = 2_048
-
 ROWS_PER_RANGE = 500
 RANGES_PER_TASK = 4
 
 
-def gamma_quantiles(steps: int = STEPS) -> list[float]:
-    """Quantiles of Gamma(2, 1) at (i + 0.5) / steps: x with 1 - (1 + x) exp(-x) = p."""
-    found, x = [], 1e-3
-    for i in range(steps):
-        p = (i + 0.5) / steps
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - p) / (x * math.exp(-x))
-            x = max(x - step, x / 4)
-            if abs(step) < 1e-12 * x:
-                break
-        found.append(x)
-    return found
-
-
-def coordinate(k: int, term: Column, log_weight: Column, gamma: Column, log_gamma: Column, seed: int) -> Column:
-    """The sample of ``term`` for coordinate ``k``: 11 bits of a 64-bit hash
-    choose r, 11 choose c, and the other 42 make b."""
-    h = F.xxhash64(term, F.lit(seed * 1_000 + k))
-    bits = int(math.log2(STEPS))
-    r = F.get(gamma, F.shiftrightunsigned(h, 64 - bits).cast("int"))
-    c = F.get(log_gamma, F.shiftrightunsigned(h, 64 - 2 * bits).bitwiseAND(STEPS - 1).cast("int"))
-    rest = 64 - 2 * bits
-    b = h.bitwiseAND((1 << rest) - 1) / float(1 << rest)
-    return c - r * (F.floor(log_weight / r + b) - b + 1.0)
+def coordinate(k: int, term: Column, log_weight: Column, seed: int) -> Column:
+    """The sample of ``term`` for coordinate ``k``: 2 x 32 bits of one 64-bit
+    hash make r, 2 x 21 bits of another make c, and its other 22 make b."""
+
+    def uniform(h: Column, *widths: int) -> Column:
+        """The product of uniform values of the bits of ``h``, each the middle of its step."""
+        out, high = None, 64
+        for n in widths:
+            high -= n
+            part = F.shiftrightunsigned(h, high).bitwiseAND((1 << n) - 1) + 0.5
+            out = part if out is None else out * part
+        return out * F.lit(2.0 ** -sum(widths))
+
+    one, two = F.xxhash64(term, F.lit(seed * 1_000_003 + 2 * k)), F.xxhash64(term, F.lit(seed * 1_000_003 + 2 * k + 1))
+    r = -F.log(uniform(one, 32, 32))
+    c = -F.log(uniform(two, 21, 21))
+    b = (two.bitwiseAND((1 << 22) - 1) + 0.5) * F.lit(2.0**-22)
+    return F.log(c) - r * (F.floor(log_weight / r + b) - b + 1.0)
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "_text", size: int = SIZE, seed: int = 1) -> DataFrame:
     """Per combination of ``keys``: ``signature``, 16 bits in hex for each
     coordinate. No exchange if ``texts`` is dealt by some of the ``keys``."""
     words = texts.select(*keys, F.explode(F.split(text, f"[{SPACE}]+")).alias("_w"))
-    # a text without words keeps one row with a null term, which finds empty tables and so no sample
+    # a text without words keeps one row with a null term, whose null weight gives no sample
     terms = words.select(*keys, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_term"))
-    terms = terms.groupBy(*keys, "_term").agg(F.log(F.count(F.lit(1))).alias("_lw")).withColumn("_known", F.col("_term").isNotNull())
-    quantiles = gamma_quantiles()
-    rows = [(True, quantiles, [math.log(x) for x in quantiles]), (False, [], [])]
-    tables = texts.sparkSession.createDataFrame(rows, "_k boolean, _r array<double>, _c array<double>")
-    terms = terms.join(F.broadcast(tables), F.col("_known") == F.col("_k"))  # two rows
-    sample = lambda k: coordinate(k, F.col("_term"), F.col("_lw"), F.col("_r"), F.col("_c"), seed)
+    weight = F.when(F.col("_term").isNotNull(), F.log(F.count(F.lit(1))))
+    terms = terms.groupBy(*keys, "_term").agg(weight.alias("_lw"))
+    sample = lambda k: coordinate(k, F.col("_term"), F.col("_lw"), seed)
     least = terms.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"_s{k}") for k in range(size)])
     minima = F.array(*[F.col(f"_s{k}") for k in range(size)])
     digits = F.transform(minima, lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(0xFFFF))), 4, "0"))

@@ -269,3 +269,15 @@ def test_collision_rate_is_generalised_jaccard(documents):
     found = {r["doc_id"]: r["near_next"] for r in weighted_sampling.report(df, size=512).collect()}
     for i in range(6):
         assert found[i] == pytest.approx(likeness(texts[i], texts[(i + 1) % 6]), abs=0.09)
+
+
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_collision_rate_of_long_texts(spark, n):
+    """The minimum over many words lives in the tails of r and c."""
+    rng = np.random.default_rng(7)
+    odds = 1 / np.arange(1, n + 1)
+    texts = [" ".join(f"w{i}" for i in rng.choice(n, n, p=odds / odds.sum())) for _ in range(2)]
+    made = weighted_sampling.signatures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, _text string"), ["doc_id"], size=512)
+    a, b = (r["signature"] for r in made.orderBy("doc_id").collect())
+    rate = np.mean([a[i : i + 4] == b[i : i + 4] for i in range(0, len(a), 4)])
+    assert rate == pytest.approx(likeness(*texts), abs=0.05)
