@@ -57,6 +57,10 @@ _EDGE = re.compile(r"^[^\w@$!|+(€£¡*]+|[^\w@$]+\Z|^[*]+|[#%&|<>*$]+\Z")
 _SIGNS_AT_END = re.compile(r"(?<=[^\W_])[$@]{1,2}\Z")
 _APART = re.compile(r"(?<![^\s])(?:[^\s][ .\-_*~]){2,}[^\s](?![^\s.,;:!?])")
 _RUN = re.compile(r"(.)\1\1")
+_PARTING = re.compile("[" + re.escape("".join(sorted(BETWEEN))) + "]+")
+_LONG_RUN = re.compile(r"(.)\1{3,}")
+#: Tokens over LONGEST are decoded in pieces; in a piece that is itself longer, words of INSIDE letters or more are looked for.
+LONGEST, INSIDE = 40, 5
 
 
 @dataclass
@@ -132,6 +136,28 @@ def decodings(seen: str, model: CharModel) -> list[str]:
     return list(dict.fromkeys(decode(s, model) for s in ((seen,) if cut[0] == seen else (seen, *cut))))
 
 
+def pieces(seen: str) -> list[str]:
+    """A token with its long runs cut to three; if it is still longer than
+    ``LONGEST``, its parts between signs that only part letters, where single
+    characters in a row are one piece."""
+    if len(seen) > LONGEST:
+        seen = _LONG_RUN.sub(r"\1\1\1", seen)
+    if len(seen) <= LONGEST:
+        return [seen]
+    found, spelled = [], ""
+    for part in [*_PARTING.split(seen), ""]:
+        if len(part) == 1:
+            spelled += part
+        else:
+            found += [spelled, part]
+            spelled = ""
+    return [p for p in dict.fromkeys(found) if len(p) >= 3]
+
+
+def decoded(seen: str, model: CharModel) -> list[str]:
+    return [w for p in pieces(seen) if len(p) <= LONGEST for w in decodings(p, model)]
+
+
 def readings(token: str, model: CharModel) -> list[str]:
     """The words of a token between white space: its runs of letters, or, if it
     looks disguised, what it decodes to as well."""
@@ -141,11 +167,11 @@ def readings(token: str, model: CharModel) -> list[str]:
     else:
         words = _LETTERS.findall(token)
         letters = sum(map(len, words))
-        if 3 <= len(core) <= 40 and letters and (any(c in READINGS for c in core) or (len(words) > 1 and letters >= len(core) // 2)):
-            words = [*words, *decodings(core, model)]
+        if len(core) >= 3 and letters and (any(c in READINGS for c in core) or (len(words) > 1 and letters >= len(core) // 2)):
+            words = [*words, *decoded(core, model)]
     signs = _SIGNS_AT_END.search(token)  # one or two may be letters
-    if signs and len(token) <= 40:
-        words = [*words, *decodings(token, model)]
+    if signs:
+        words = [*words, *decoded(token, model)]
     return words
 
 
@@ -168,10 +194,13 @@ class Scanner:
         if found is None:
             if len(self.cache) > 600_000:
                 self.cache.clear()
-            found = self.cache[token] = max((self.weigh(w) for w in readings(token, self.model)), default=0.0)
+            found = max((self.weigh(w) for w in readings(token, self.model)), default=0.0)
+            if len(token) > LONGEST and not _PURE.match(token):
+                found = max([found, *(x for p in pieces(token) if len(p) > LONGEST for x in self.apart(p, INSIDE))])
+            self.cache[token] = found
         return found
 
-    def apart(self, letters: str) -> list[float]:
+    def apart(self, letters: str, least: int = 3) -> list[float]:
         """Weights of words spelled apart, which may follow one another: a run
         is decoded in overlapping pieces, and words are looked for at every
         place of what comes out."""
@@ -180,7 +209,7 @@ class Scanner:
             for word in decodings(letters[at : at + 60], self.model):
                 found[word] = self.weigh(word)
                 for i in range(len(word)):
-                    for k in range(3, 16):
+                    for k in range(least, 16):
                         if word[i : i + k] in self.lexicon:
                             found[word[i : i + k]] = self.lexicon[word[i : i + k]]
         return list(found.values())

@@ -167,3 +167,15 @@ def test_decoding():
     for seen, word in (("1d10t", "idiot"), ("st00pid", "stoopid"), ("s-t-u-p-i-d", "stupid"), ("tr4$h", "trash"), ("moron", "moron")):
         assert toxicity.decode(seen, model) == word or word == "stoopid"
     assert "stupid" in toxicity.decodings("stuuuupid", model)
+
+
+def test_long_tokens_are_decoded():
+    model = toxicity.CharModel()
+    for w in ("idiot", "moron", "stupid", "trash", "thing", "other", "fag", "download", "report"):
+        model.add(w, 50)
+    scanner = toxicity.Scanner(model.close(), {"idiot": 3.0, "moron": 3.0, "fag": 3.0})
+    clean = "download/rep0rt/other/thing/download/report/other/thing"
+    joined = [clean + s + "1d10t" for s in "/:,'_-"]
+    for token in [*joined, "f" + "@" * 60 + "g", clean + "/m-0-r-0-n", "th1ng" * 12 + "m0r0n" + "th1ng" * 3]:
+        assert len(token) > 40 and scanner.facts(token)[0] == 3.0, token
+    assert scanner.facts(clean)[0] == 0.0
