@@ -10,136 +10,132 @@ from equal (term, t), so two texts agree in a coordinate with the probability
 of their generalised Jaccard similarity: sum of smaller over sum of larger
 weights. Only DataFrame functions are used.
 
-One exchange deals the documents, by ranges of their key, with each range's
-successor added; all else, counts of terms, minima and the look at the next
-document, happens inside those ranges.
+Most samples need no logarithm: ``a >= c exp(-r) / weight`` and
+``-ln u >= 2 (1 - u) / (1 + u)`` bound a sample from below by its uniform values
+alone, and the minimum of a text of W words exceeds ``BOUND / W`` with
+probability exp(-BOUND) only. Samples that cannot be below that are left out;
+a text that lacks a coordinate then is signed again without the bound.
+
+Only keys are put in order, by range; a text moves to the document before it,
+and both to where they are signed, by exchanges on a row key that has no
+repeats, so neither equal keys nor the number of documents make a task large.
 
 Defined results: a null text is empty, all empty texts share one fingerprint;
-a null key comes first in order; equal keys are ordered by text; an only
-document is its own successor; an empty table gives an empty result.
+a null key comes first in order; equal keys are ordered by a hash of their text,
+equal rows by their place; an only document is its own successor; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import SPACE, text_or_empty
+from .common import SPACE, small, text_or_empty, with_row_key, written
 
 #: Coordinates of a signature.
 SIZE = 64
-
-ROWS_PER_RANGE = 500
-RANGES_PER_TASK = 4
-
-
-def coordinate(k: int, term: Column, log_weight: Column, seed: int) -> Column:
-    """The sample of ``term`` for coordinate ``k``: 2 x 32 bits of one 64-bit
-    hash make r, 2 x 21 bits of another make c, and its other 22 make b."""
-
-    def uniform(h: Column, *widths: int) -> Column:
-        """The product of uniform values of the bits of ``h``, each the middle of its step."""
-        out, high = None, 64
-        for n in widths:
-            high -= n
-            part = F.shiftrightunsigned(h, high).bitwiseAND((1 << n) - 1) + 0.5
-            out = part if out is None else out * part
-        return out * F.lit(2.0 ** -sum(widths))
-
-    one, two = F.xxhash64(term, F.lit(seed * 1_000_003 + 2 * k)), F.xxhash64(term, F.lit(seed * 1_000_003 + 2 * k + 1))
-    r = -F.log(uniform(one, 32, 32))
-    c = -F.log(uniform(two, 21, 21))
-    b = (two.bitwiseAND((1 << 22) - 1) + 0.5) * F.lit(2.0**-22)
-    return F.log(c) - r * (F.floor(log_weight / r + b) - b + 1.0)
-
-
-def signatures(texts: DataFrame, keys: list[str], text: str = "_text", size: int = SIZE, seed: int = 1) -> DataFrame:
-    """Per combination of ``keys``: ``signature``, 16 bits in hex for each
-    coordinate. No exchange if ``texts`` is dealt by some of the ``keys``."""
-    words = texts.select(*keys, F.explode(F.split(text, f"[{SPACE}]+")).alias("_w"))
+#: Samples are computed in full if they can be below BOUND / words of the text.
+BOUND = 14.0
+BROADCAST_ROWS = 200_000
+
+
+def coordinate(k: int, seed: int, bounded: bool) -> Column:
+    """The sample of ``_term`` with weight ``_wt`` (its logarithm ``_lw``) for
+    coordinate ``k``: 2 x 32 bits of one 64-bit hash make v and so r, 2 x 21
+    bits of another make u and so c, and its other 22 make b; a uniform value is
+    the middle of its step. If ``bounded``, null if sure to be above ``_most``."""
+    one, two = (f"xxhash64(_term, {seed * 1_000_003 + 2 * k + i})" for i in (0, 1))
+    part = lambda h, shift, n: f"((shiftrightunsigned({h}, {shift}) & {(1 << n) - 1}L) + 0.5D)"
+    v = f"({part(one, 32, 32)} * {part(one, 0, 32)} * {2.0**-64!r}D)"
+    u = f"({part(two, 43, 21)} * {part(two, 22, 21)} * {2.0**-42!r}D)"
+    b = f"({part(two, 0, 22)} * {2.0**-22!r}D)"
+    # a weight of 1 gives t = 0
+    steps = f"if(_wt = 1, 1D - {b}, floor(_lw / -ln({v}) + {b}) - {b} + 1D)"
+    sample = f"ln(-ln({u})) + ln({v}) * {steps}"
+    return F.expr(f"if((1D - {u}) * {v} * 2D <= _most * _wt * (1D + {u}), {sample}, null)" if bounded else sample)
+
+
+def signatures(texts: DataFrame, keys: list[str], text: str = "_text", size: int = SIZE, seed: int = 1, bound: float | None = None) -> DataFrame:
+    """Per combination of ``keys``: ``signature``, 16 bits for each
+    coordinate, and ``open``, whether ``bound`` left a coordinate of a text with
+    words without a sample. No exchange if ``texts`` is dealt by some of the ``keys``."""
+    words = texts.select(*keys, F.split(text, f"[{SPACE}]+").alias("_ws")).select(*keys, F.size("_ws").alias("_n"), F.explode("_ws").alias("_w"))
     # a text without words keeps one row with a null term, whose null weight gives no sample
-    terms = words.select(*keys, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_term"))
-    weight = F.when(F.col("_term").isNotNull(), F.log(F.count(F.lit(1))))
-    terms = terms.groupBy(*keys, "_term").agg(weight.alias("_lw"))
-    sample = lambda k: coordinate(k, F.col("_term"), F.col("_lw"), seed)
-    least = terms.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"_s{k}") for k in range(size)])
+    terms = words.select(*keys, "_n", F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_term"))
+    weight = F.when(F.col("_term").isNotNull(), F.count(F.lit(1)).cast("double"))
+    terms = terms.groupBy(*keys, "_n", "_term").agg(weight.alias("_wt"))
+    terms = terms.select(*keys, "_term", "_wt", F.log("_wt").alias("_lw"), (F.lit(bound) / F.col("_n")).alias("_most"))
+    sample = lambda k: coordinate(k, seed, bound is not None)
+    least = terms.groupBy(*keys).agg(F.count("_term").alias("_known"), *[F.min(sample(k)).alias(f"_s{k}") for k in range(size)])
     minima = F.array(*[F.col(f"_s{k}") for k in range(size)])
     digits = F.transform(minima, lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(0xFFFF))), 4, "0"))
-    return least.select(*keys, F.array_join(digits, "").alias("signature"))
+    return least.select(*keys, F.unhex(F.array_join(digits, "")).alias("signature"), ((F.col("_known") > 0) & F.exists(minima, lambda x: x.isNull())).alias("open"))
 
 
 def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
     """The share of coordinates in which two signatures agree."""
-    parts = F.sequence(F.lit(0), F.lit(size - 1))
-    equal = F.filter(parts, lambda i: F.substring(a, 4 * i + 1, F.lit(4)) == F.substring(b, 4 * i + 1, F.lit(4)))
+    parts = lambda x: F.regexp_extract_all(F.hex(x), F.lit("...."), F.lit(0))
+    equal = F.filter(F.zip_with(parts(a), parts(b), lambda x, y: x == y), lambda same: same)
     return F.size(equal) / float(size)
 
 
-def ranges(docs: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
-    """``docs`` (``doc_id``, ``_text``) with ``_range`` and, at the end of each
-    range, the first row of the next one again (``_ghost``; after the last
-    range, of the first), so that each row's successor is in its range."""
-    spark = docs.sparkSession
-    n = docs.count()
-    parts = min(100_000, max(1, n // rows_per_range))
-    cuts = []
-    if parts > 1:
-        shares = [i / parts for i in range(1, parts)]
-        found = docs.agg(F.percentile_approx("doc_id", shares, 4 * parts).alias("cuts")).first()["cuts"]
-        cuts = sorted(set(found or []))
-    placed = docs.withColumn("_range", _count_below(F.col("doc_id"), cuts))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.xxhash64("_text").alias("text"))
-    # a row per range: at most 100,000
-    firsts = sorted((r["_range"], r["o"]["doc_id"], r["o"]["text"]) for r in placed.groupBy("_range").agg(F.min(order).alias("o")).collect())
-    again = [(i, t, firsts[k - 1][0]) for k, (_, i, t) in enumerate(firsts)]
-    again = F.broadcast(spark.createDataFrame(again, "_again long, _hash long, _into int"))
-    same = F.col("doc_id").eqNullSafe(F.col("_again")) & (F.xxhash64("_text") == F.col("_hash"))
-    place = lambda r, ghost: F.struct(r.alias("r"), F.lit(ghost).alias("ghost"))
-    own, other = place(F.col("_range"), False), place(F.col("_into"), True)
-    return (
-        placed.join(again, same, "left")
-        .withColumn("_x", F.explode(F.when(F.col("_into").isNull(), F.array(own)).otherwise(F.array(own, other))))
-        .select("doc_id", "_text", F.col("_x.r").alias("_range"), F.col("_x.ghost").alias("_ghost"))
-        .repartition(max(1, parts // RANGES_PER_TASK), "_range")
-    )
-
-
-def _count_below(key: Column, cuts: list[int]) -> Column:
-    if not cuts:
-        return F.lit(0)
-    table = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")
-    steps, reach = [], 1
-    while reach <= len(cuts):
-        steps.insert(0, reach)
-        reach *= 2
-    at = F.lit(0)
-    for s in steps:
-        at = at + F.when(F.coalesce(F.get(table, at + (s - 1)) < key, F.lit(False)), s).otherwise(0)
-    return at
-
-
-def report(docs: DataFrame, size: int = SIZE, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+def successors(rows: DataFrame) -> DataFrame:
+    """``_rid, _next, _half`` of written ``rows`` (``_rid, doc_id, _hash,
+    _chars``): the row that follows in order of key (after the last: the
+    first), and half of the row's length."""
+    order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_rid").asc()]
+    keys = rows.select("_rid", "doc_id", "_hash", F.expr("int(floor(_chars / 2))").alias("_half"))
+    keys = written(keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "fingerprint-order")
+    rank = F.struct(F.col("doc_id").isNotNull(), "doc_id", "_hash", "_rid")
+    firsts = keys.groupBy("_part").agg(F.min_by("_rid", rank).alias("_first"))  # a row per partition of the range exchange
+    firsts = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_after"), F.first("_first").over(Window.orderBy("_part")).alias("_top"))
+    firsts = F.broadcast(firsts.select(F.col("_part").alias("_p"), F.coalesce("_after", "_top").alias("_after")))
+    inside = F.lead("_rid").over(Window.partitionBy("_part").orderBy(*order))
+    found = keys.withColumn("_next", inside).join(firsts, F.col("_part") == F.col("_p"))
+    return found.select("_rid", F.coalesce("_next", "_after").alias("_next"), "_half")
+
+
+def paired(rows: DataFrame, following: DataFrame) -> DataFrame:
+    """The rows in ``following`` with ``_edited`` and ``_next``."""
+    wanted = small(following.select(F.col("_rid").alias("_to"), F.col("_next").alias("_from"), "_half"), BROADCAST_ROWS)
+    texts = rows.select("_rid", "doc_id", "_text")
+    heads = texts.join(wanted, F.col("_rid") == F.col("_from")).select("_to", "_from", "_half", F.expr("substring(_text, 1, _half)").alias("_head"))
+    edited = F.expr("concat(substring(_text, 1, length(_text) - _half), _head)").alias("_edited")
+    return texts.join(heads, F.col("_rid") == F.col("_to")).select("_rid", "doc_id", "_text", edited, F.col("_from").alias("_next"))
+
+
+def signed(rows: DataFrame, following: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame:
+    """``_rid, doc_id, n_chars, _next``, ``edited_sha256`` and the signatures
+    ``fingerprint`` and ``edited_fingerprint``; written."""
+
+    def side_by_side(which: DataFrame, limit: float | None) -> DataFrame:
+        one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("text"))
+        both = paired(rows, which)
+        texts = both.select("_rid", F.explode(F.array(one(0, "_text"), one(1, "_edited"))).alias("x")).select("_rid", "x.kind", F.col("x.text").alias("_text"))
+        of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+        made = signatures(texts, ["_rid", "kind"], size=size, bound=limit).groupBy("_rid").agg(
+            of(0, "signature").alias("fingerprint"), of(1, "signature").alias("edited_fingerprint"), F.max("open").alias("open")
+        )
+        facts = both.select("_rid", "doc_id", "_next", F.length("_text").cast("long").alias("n_chars"), F.unhex(F.sha2("_edited", 256)).alias("edited_sha256"))
+        return written(made.join(facts, "_rid"), "fingerprints")
+
+    quick = side_by_side(following, bound)
+    if not quick.filter("open").limit(1).count():
+        return quick
+    again = following.join(small(quick.filter("open").select(F.col("_rid").alias("_key")), BROADCAST_ROWS), F.col("_rid") == F.col("_key"), "left_semi")
+    return quick.filter("not open").unionByName(side_by_side(written(again, "fingerprint-open"), None))
+
+
+def report(docs: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame:
     """A row per document: fingerprints of its text and of the edited text,
     whose last half is the next document's beginning, and their likeness."""
-    rows = docs.select("doc_id", text_or_empty().alias("_text"))
-    window = Window.partitionBy("_range").orderBy("_ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("_text"))
-    half = "int(floor(length(_text) / 2))"
-    edited = F.expr(f"concat(substring(_text, 1, length(_text) - {half}), substring(_next, 1, {half}))")
-    pairs = ranges(rows, rows_per_range).withColumn("_at", F.row_number().over(window)).withColumn("_next", F.lead("_text").over(window))
-    pairs = pairs.withColumn("_edited", F.when(~F.col("_ghost"), edited))
-    one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("text"))
-    texts = pairs.select("_range", "_at", F.explode(F.array(one(0, "_text"), one(1, "_edited"))).alias("x"))
-    texts = texts.select("_range", "_at", "x.kind", F.col("x.text").alias("_text")).filter(F.col("_text").isNotNull())
-    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("signature")))
-    signed = signatures(texts, ["_range", "_at", "kind"], size=size).groupBy("_range", "_at").agg(of(0).alias("fingerprint"), of(1).alias("edited_fingerprint"))
-    facts = pairs.select("_range", "_at", "_ghost", "doc_id", F.length("_text").cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
-    in_range = Window.partitionBy("_range").orderBy("_at")
-    return (
-        facts.join(signed, ["_range", "_at"])
-        .withColumn("_following", F.lead("fingerprint").over(in_range))
-        .filter(~F.col("_ghost"))
-        .select(
-            "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-            likeness(F.col("fingerprint"), F.col("edited_fingerprint"), size).alias("near_edited"),
-            likeness(F.col("fingerprint"), F.col("_following"), size).alias("near_next"),
-        )
+    rows = with_row_key(docs.select("doc_id", text_or_empty().alias("_text")))
+    rows = written(rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_chars", F.length("_text")), "fingerprint-rows")
+    found = signed(rows, written(successors(rows), "fingerprint-next"), size, bound)
+    wanted = found.select(F.col("_rid").alias("_to"), F.col("_next").alias("_from"))
+    near = found.select("_rid", F.col("fingerprint").alias("_following")).join(wanted, F.col("_rid") == F.col("_from")).select("_to", "_following")
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.join(near, F.col("_rid") == F.col("_to")).select(
+        "doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"),
+        likeness(F.col("fingerprint"), F.col("edited_fingerprint"), size).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("_following"), size).alias("near_next"),
     )
