@@ -10,8 +10,8 @@ find it ordinary; each counts once, however often it is repeated. A long token i
 exceeds ``MARGIN`` per character over the whole token, or over a stretch of it of
 ``LEAST`` characters or more that begins and ends at a sign or an end of the
 token, so that a path or a name before a key does not hide it; numbers between
-signs count as neutral in stretches. The span is the whole token. Only numbers, also joined ones, are never
-secrets by the models. Offsets are code points: the text is split
+signs count as neutral in stretches. The span is the whole token. Tokens without
+letters, so numbers and joined numbers, are never secrets by the models. Offsets are code points: the text is split
 at the matches, and the lengths of pieces and matches are summed in order.
 Only DataFrame functions are used.
 
@@ -38,8 +38,9 @@ KINDS = tuple(PATTERNS)
 ASSIGN_LEAST = 6
 
 #: What makes a token with letters an ordinary sample, and one without a number: words joined by one sign, any one case, or digits alone.
-ORDINARY = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[_/=+-](?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*$"
-PROVEN = r"^(?:AKIA[A-Z0-9]{16,}|(?=[a-f]*[0-9])[0-9a-f]{24,})$"
+#: Its repetitions give nothing back, so that Java matches them in a loop and not by recursion.
+ORDINARY = r"^(?:[A-Z]?[a-z]++|[A-Z]++|[0-9]++)(?:[_/=+-](?:[A-Z]?[a-z]++|[A-Z]++|[0-9]{1,4}+))*+$"
+PROVEN = r"^(?:AKIA[A-Z0-9]{16,}+|(?=[a-f]*+[0-9])[0-9a-f]{24,}+)$"
 
 #: Fixed value: the signs at which a stretch of a token may begin or end.
 SIGNS = "+/_=-"
@@ -52,6 +53,8 @@ SMOOTHING = 0.1
 MARGIN = 0.35
 N_GENERATED = 6_000
 BROADCAST_ROWS = 200_000
+#: Characters of a token in one row.
+CHUNK = 4_096
 
 
 def _cut(text: Column, kind: str) -> Column:
@@ -89,10 +92,17 @@ def placed(found: DataFrame) -> DataFrame:
     )
 
 
-def _pairs(tokens: DataFrame) -> DataFrame:
-    """A row per character of each token with the one before ('' at first)."""
-    at = tokens.withColumn("_i", F.explode(F.sequence(F.lit(1), F.length("token"))))
-    return at.withColumn("now", F.expr("substring(token, _i, 1)")).withColumn("before", F.expr("if(_i = 1, '', substring(token, _i - 1, 1))"))
+def _pairs(tokens: DataFrame, *keep: str, mask: str = "token") -> DataFrame:
+    """``_i, now, before, _mask`` and the columns ``keep``: a row per character
+    of each token with the one before ('' at first). Tokens are cut into chunks
+    first, and only characters go on, so work and memory grow with the length."""
+    cut = lambda c: F.regexp_extract_all(c, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    chunks = F.transform(F.arrays_zip(cut("token").alias("t"), cut(mask).alias("m")), lambda x: F.struct(x["t"].alias("t"), x["m"].alias("m"), F.right(x["t"], F.lit(1)).alias("last")))
+    linked = once(chunks, lambda c: F.transform(c, lambda x, i: F.struct(x["t"].alias("t"), x["m"].alias("m"), F.coalesce(F.get(c, i - 1)["last"], F.lit("")).alias("edge"))))
+    rows = tokens.select(*keep, F.posexplode(linked).alias("_chunk", "_c")).select(*keep, "_chunk", "_c.edge", F.split("_c.t", "").alias("_now"), F.split("_c.m", "").alias("_masks"))
+    rows = rows.withColumn("_before", F.concat(F.array("edge"), "_now"))
+    rows = rows.select(*keep, "_chunk", F.posexplode(F.arrays_zip("_now", "_masks", F.slice("_before", 1, F.size("_now")).alias("_before"))).alias("_at", "_p"))
+    return rows.select(*keep, (F.col("_chunk") * CHUNK + F.col("_at") + 1).alias("_i"), F.col("_p._now").alias("now"), F.col("_p._before").alias("before"), F.col("_p._masks").alias("_mask"))
 
 
 def generated(spark: SparkSession, n: int = N_GENERATED) -> DataFrame:
@@ -113,7 +123,7 @@ def trained(samples: DataFrame, smoothing: float = SMOOTHING) -> DataFrame:
 
     The result has at most as many rows as there are pairs of the 66 characters.
     """
-    pairs = written(_pairs(samples).groupBy("before", "now").agg(
+    pairs = written(_pairs(samples, "label").groupBy("before", "now").agg(
         F.sum(F.col("label")).alias("random"), F.sum(1 - F.col("label")).alias("ordinary")
     ), "pairs")
     totals = pairs.groupBy(F.col("before").alias("b")).agg(F.sum("random").alias("all_random"), F.sum("ordinary").alias("all_ordinary"))
@@ -131,7 +141,7 @@ def scored(tokens: DataFrame, model: DataFrame, margin: float = MARGIN) -> DataF
     exact = model.filter(F.col("now").isNotNull()).select(F.col("before").alias("b1"), F.col("now").alias("n1"), F.col("ratio").alias("r1"))
     other = model.filter(F.col("now").isNull()).select(F.col("before").alias("b2"), F.col("ratio").alias("r2"))
     keyed = written(with_row_key(tokens.select("token").distinct(), "_tid"), "tokens")
-    pairs = _pairs(keyed.withColumn("_mask", F.regexp_replace("token", NUMBER, "#"))).withColumn("_mask", F.expr("substring(_mask, _i, 1)"))
+    pairs = _pairs(keyed.withColumn("_masked", F.regexp_replace("token", NUMBER, "#")), "_tid", mask="_masked")
     joined = pairs.join(F.broadcast(exact), (F.col("before") == F.col("b1")) & (F.col("now") == F.col("n1")), "left")
     joined = joined.join(F.broadcast(other), F.col("before") == F.col("b2"), "left")
     sign = lambda c: F.col(c).isin("", *SIGNS)
@@ -157,7 +167,7 @@ def spans(found: DataFrame, margin: float = MARGIN) -> DataFrame:
     random = (F.col("ratio") > margin) | (F.coalesce("surplus", F.lit(0.0)) > 0)
     plain = scored(samples.filter("label = 0"), trained(fixed), margin).filter(~random).select("token", F.lit(0).alias("label"))
     samples = samples.filter("label = 1").unionByName(plain).unionByName(fixed)
-    number = F.col("token").rlike(ORDINARY) & ~F.col("token").rlike("[A-Za-z]")
+    number = ~F.col("token").rlike("[A-Za-z]")
     secret = scored(tokens, trained(samples), margin).filter(random & ~number)
     by_model = tokens.join(secret.select("token"), "token", "left_semi")
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -190,7 +200,9 @@ def redact(docs: DataFrame, mark: str = "<secret>", text: str = "text", n_chars:
     touching spans by one ``mark``; ``n_chars``, if there is one, follows."""
     whole = written(with_row_key(boxed(docs)), "redact-rows")
     found = written(matched(whole.select("_rid", F.col(f"_row.{text}").alias("text"))), "secret-matches")
-    lists = small(written(by_document(found).select(F.col("_rid").alias("_key"), "list"), "secret-spans"), BROADCAST_ROWS)
+    lists = by_document(found).select(F.col("_rid").alias("_key"), F.transform("list", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("list"))
+    marked = written(lists, "secret-spans")
+    lists = F.broadcast(marked) if (marked.agg(F.sum(F.size("list") + 4)).first()[0] or 0) <= BROADCAST_ROWS else marked
 
     def cut(t: Column, s: Column) -> Column:
         state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
