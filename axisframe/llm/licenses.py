@@ -1,14 +1,14 @@
 """License scans by a positional index of rare words.
 
-Only words of the templates are kept of a text, with their places. Document
-frequencies of those words over all documents give weights (IDF); the word of
-the highest IDF in a template's key phrase is its anchor. Texts without any
-anchor are done. For the others every posting (word, place) meets the template
-postings (word, template, relative place); equal differences of the two places
-name one start of one template, and the postings that agree on it are counted.
-A start stands if the anchor and every word of the mandatory key phrase agree
-and the agreeing words hold enough of the template's weight. Only DataFrame
-functions are used, and no text is shuffled.
+Only words of the templates are kept of a text, with their places, and places
+only where a text has every word of some template's key phrase. Document
+frequencies of those words over all documents give weights (IDF). Each file's
+licence words are ranked by weight, and for each template that may stand in it
+the rarest of them is looked up: its places name starts of the template. From
+every such start the template's postings (word, relative place) are intersected
+with the file's postings. A start stands if all words of the mandatory key
+phrase agree and the agreeing words hold enough of the template's weight. Only
+DataFrame functions are used, and no text is shuffled.
 
 Defined results: null and empty texts have no words and no labels; repeated
 rows are judged one by one; an empty table gives an empty result.
@@ -26,7 +26,7 @@ from .common import ascii_lower, text_or_empty, with_row_key, written
 #: Fixed value: what stands between words, before A-Z are put in lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Words that only hold places in the templates beyond the base ones.
+#: Words that only hold places in the templates beyond the base ones, outside of key phrases.
 COMMON = frozenset("a and any are as at be can for from in is it may of on or that the this to under use with without you your".split())
 
 
@@ -41,7 +41,7 @@ class Template:
         """(relative place, word, mandatory) of each indexed word."""
         words, key = self.text.split(), self.key.split()
         at = next(i for i in range(len(words)) if words[i : i + len(key)] == key)
-        return [(i, w, at <= i < at + len(key)) for i, w in enumerate(words) if self.base or w not in COMMON]
+        return [(i, w, at <= i < at + len(key)) for i, w in enumerate(words) if self.base or w not in COMMON or at <= i < at + len(key)]
 
 
 def _base(label: str, phrase: str) -> Template:
@@ -74,8 +74,10 @@ TEMPLATES = (
 
 
 def postings(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text: str = "text") -> DataFrame:
-    """``docs`` without the text: ``n_words`` and ``hits`` (place, word)."""
+    """``docs`` without the text: ``n_words``, the distinct licence ``words``
+    and ``hits`` (place, word), none if no key phrase has all its words there."""
     vocabulary = sorted({w for t in templates for _, w, _ in t.postings()})
+    keys = F.array(*[F.array(*[F.lit(w) for w in dict.fromkeys(t.key.split())]) for t in templates])
     words = F.col("_words")
     edge = lambda at: F.when(F.element_at(words, at) == "", 1).otherwise(0)
     # lower() only lets through more than A-Z in lower case would; what it lets through is spelled exactly and looked up again
@@ -84,8 +86,11 @@ def postings(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, text:
         docs.withColumn("_words", F.split(text_or_empty(text), BETWEEN))
         .withColumn("_lead", edge(1))
         .withColumn("n_words", (F.size(words) - F.col("_lead") - F.when(F.size(words) > 1, edge(-1)).otherwise(0)).cast("long"))
-        .withColumn("hits", F.filter(near, lambda h: h.isNotNull() & h["word"].isin(vocabulary)))
+        .withColumn("_hits", F.filter(near, lambda h: h.isNotNull() & h["word"].isin(vocabulary)))
         .drop("_words", "_lead", text)
+        .withColumn("words", F.array_distinct(F.transform("_hits", lambda h: h["word"])))
+        .withColumn("hits", F.when(F.exists(keys, lambda k: F.size(F.array_except(k, F.col("words"))) == 0), F.col("_hits")))
+        .drop("_hits")
     )
 
 
@@ -93,43 +98,38 @@ def weights(found: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> di
     """IDF of each template word over all rows of ``found``; at most as many
     entries as the templates have words, however large the input."""
     n = found.count()
-    words = F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word")
-    known = {r["word"]: r["df"] for r in found.select(words).groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
+    known = {r["word"]: r["df"] for r in found.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")).collect()}
     return {w: math.log(1 + (n + 1) / (1 + known.get(w, 0))) for t in templates for _, w, _ in t.postings()}
 
 
-def template_rows(idf: dict[str, float], templates: tuple[Template, ...] = TEMPLATES) -> list[tuple]:
-    """(word, template, place, weight, mandatory, anchor) of all templates."""
-    rows = []
-    for tid, t in enumerate(templates):
-        own = t.postings()
-        anchor = max((p for p in own if p[2]), key=lambda p: (idf[p[1]], -p[0]))[0]
-        rows += [(w, tid, i, idf[w], int(must), int(i == anchor)) for i, w, must in own]
-    return rows
-
-
 def matches(found: DataFrame, templates: tuple[Template, ...] = TEMPLATES, least: float = 0.6) -> DataFrame:
     """A row per document and standing start: ``_rid``, ``label``, ``base``,
     ``start`` and ``share``, the part of the template's weight that agrees."""
     spark = found.sparkSession
-    rows = template_rows(weights(found, templates), templates)
-    index = spark.createDataFrame(rows, "t_word string, tid int, rel int, weight double, must int, anchor int")
+    idf = weights(found, templates)
+    rows = [(tid, i, w, idf[w], int(must)) for tid, t in enumerate(templates) for i, w, must in t.postings()]
+    index = spark.createDataFrame(rows, "tid int, rel int, t_word string, weight double, must int")
     wanted = spark.createDataFrame(
-        [(tid, t.label, t.base, sum(r[4] for r in rows if r[1] == tid), sum(r[3] for r in rows if r[1] == tid)) for tid, t in enumerate(templates)],
+        [(tid, t.label, t.base, sum(r[4] for r in rows if r[0] == tid), sum(r[3] for r in rows if r[0] == tid)) for tid, t in enumerate(templates)],
         "w_tid int, label string, base boolean, all_must int, all_weight double",
     )
-    anchors = sorted({r[0] for r in rows if r[5]})
-    hit = found.filter(F.exists("hits", lambda h: h["word"].isin(anchors))).select("_rid", F.explode("hits").alias("h"))
-    # both tables are fixed by the templates, a few hundred rows
-    agreed = (
-        hit.join(F.broadcast(index), F.col("h.word") == F.col("t_word"))
-        .groupBy("_rid", "tid", (F.col("h.pos") - F.col("rel")).alias("start"))
-        .agg(F.sum("weight").alias("weight"), F.sum("must").alias("must"), F.max("anchor").alias("anchor"))
-    )
-    return (
-        agreed.join(F.broadcast(wanted), F.col("tid") == F.col("w_tid"))
-        .filter((F.col("anchor") == 1) & (F.col("must") == F.col("all_must")) & (F.col("weight") >= least * F.col("all_weight")))
-        .select("_rid", "label", "base", "start", F.least(F.lit(1.0), F.col("weight") / F.col("all_weight")).alias("share"))
+    # index and wanted are fixed by the templates, a few hundred rows, so they are broadcast
+    files = found.filter(F.size("hits") > 0)
+    hits = files.select("_rid", F.explode("hits").alias("h")).select("_rid", F.col("h.pos").alias("pos"), F.col("h.word").alias("word"))
+    rarest = F.max_by(F.struct("t_word", "rel"), F.struct("weight", -F.col("rel"))).alias("rarest")
+    looked_up = (
+        files.select("_rid", F.explode("words").alias("word")).join(F.broadcast(index.filter("must = 1")), F.col("word") == F.col("t_word"))
+        .groupBy("_rid", "tid").agg(F.count(F.lit(1)).alias("n"), rarest)
+        .join(F.broadcast(wanted), (F.col("tid") == F.col("w_tid")) & (F.col("n") == F.col("all_must")))
+        .select(F.col("_rid").alias("_file"), "tid", "label", "base", "all_must", "all_weight", F.col("rarest.t_word").alias("_rare"), F.col("rarest.rel").alias("_rel"))
+    )
+    starts = hits.join(looked_up, (F.col("_rid") == F.col("_file")) & (F.col("word") == F.col("_rare"))).withColumn("start", F.col("pos") - F.col("_rel"))
+    expected = starts.drop("_rid", "pos", "word", "_rare", "_rel").join(F.broadcast(index.withColumnRenamed("tid", "_tid")), F.col("tid") == F.col("_tid")).drop("_tid")
+    expected = expected.withColumn("_at", F.col("start") + F.col("rel"))
+    agreed = hits.join(expected, (F.col("_rid") == F.col("_file")) & (F.col("pos") == F.col("_at")) & (F.col("word") == F.col("t_word")))
+    agreed = agreed.groupBy("_rid", "tid", "start", "label", "base", "all_must", "all_weight").agg(F.sum("weight").alias("weight"), F.sum("must").alias("must"))
+    return agreed.filter((F.col("must") == F.col("all_must")) & (F.col("weight") >= least * F.col("all_weight"))).select(
+        "_rid", "label", "base", "start", F.least(F.lit(1.0), F.col("weight") / F.col("all_weight")).alias("share")
     )
 
 

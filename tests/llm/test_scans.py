@@ -177,3 +177,73 @@ def test_redaction(documents, odd, none):
     assert got[1] == ("nothing", 7) and got[2] == (None, None)
     assert secrets_scan.redact(odd).columns == odd.columns and secrets_scan.redact(odd).count() == odd.count()
     assert secrets_scan.redact(none).count() == 0
+
+
+def test_very_long_tokens(documents):
+    """One token of megabytes, joined words and random: a span or none, without recursion and in linear time."""
+    rng = random.Random(3)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    secret = "".join(rng.choice(signs) for _ in range(1_000_000))
+    rows = ["see " + "word_" * 200_000 + "end", "see " + secret + " end", "see " + "12/" * 20_000]
+    got = {r["doc_id"]: r["spans"] for r in secrets_scan.report(documents(rows)).collect()}
+    assert got[0] == "" and got[1] == f"markov:4:{4 + len(secret)}" and got[2] == ""
+
+
+def test_ratios_are_those_of_the_models(spark):
+    """Mean and best stretch against a plain reading of every stretch."""
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice(["ab", "X9", "/", "_", "12", "q", "=", "-", "777"]) for _ in range(rng.randint(8, 40))) for _ in range(60)]
+    tokens = sorted({t for t in tokens if len(t) >= 16}) + ["a" * 5000 + "/" + "Q7z" * 2000]
+    model = secrets_scan.trained(secrets_scan.generated(spark, 300).unionByName(spark.createDataFrame([(w, 0) for w in ("plain", "words", "and_paths/of")], "token string, label int")))
+    table = {(r["before"], r["now"]): r["ratio"] for r in model.collect()}
+    got = {r["token"]: r for r in secrets_scan.scored(spark.createDataFrame([(t,) for t in tokens], "token string"), model).collect()}
+    for t in tokens:
+        x = [table.get((t[i - 1] if i else "", c), table.get((t[i - 1] if i else "", None), 0.0)) for i, c in enumerate(t)]
+        assert got[t]["ratio"] == pytest.approx(sum(x) / len(x))
+        number = set()
+        for m in re.finditer(r"(?<![A-Za-z0-9])[0-9]+(?![A-Za-z0-9])", t):
+            number |= set(range(*m.span()))
+        over = [(0.0 if i in number else v) - secrets_scan.MARGIN for i, v in enumerate(x)]
+        sums = [0.0]
+        for v in over:
+            sums.append(sums[-1] + v)
+        starts = [i for i in range(len(t)) if i == 0 or t[i - 1] in secrets_scan.SIGNS]
+        ends = [i for i in range(1, len(t) + 1) if i == len(t) or t[i] in secrets_scan.SIGNS]
+        best = max((sums[e] - sums[s] for e in ends for s in starts if e - s >= secrets_scan.LEAST), default=None)
+        assert got[t]["surplus"] == (None if best is None else pytest.approx(best))
+
+
+def test_key_phrases_are_whole(documents):
+    """A text that lacks any word of a key phrase, a common one too, has no label of it."""
+    rows = ["x copy modify zebra or distribute that software for any purpose", "free zebra unencumbered software released into qq public domain"]
+    rows += ["permission to use copy modify and or distribute this software for any purpose", "free and unencumbered software released into the public domain"]
+    rows += ["and or this copy modify distribute software", "MIT license, mit License; license mit"]
+    got = [r["labels"] for r in licenses.report(documents(rows)).orderBy("doc_id").collect()]
+    assert got == ["", "", "isc", "unlicense", "", "mit"]
+
+
+def test_added_labels_against_every_start(documents):
+    """Labels of random mixtures of template words against a plain check of every start."""
+    import math
+
+    rng = random.Random(9)
+    texts = []
+    for _ in range(150):
+        t = rng.choice(licenses.TEMPLATES)
+        words = [w if rng.random() > 0.08 else "zebra" for w in t.text.split()]
+        texts.append(" ".join(["x"] * rng.randint(0, 2) + words + rng.choice(licenses.TEMPLATES).key.split()[: rng.randint(0, 4)]))
+    own = [t.split() for t in texts]
+    vocabulary = {w for t in licenses.TEMPLATES for _, w, _ in t.postings()}
+    idf = {w: math.log(1 + (len(own) + 1) / (1 + sum(w in set(o) for o in own))) for w in vocabulary}
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.report(documents(texts)).collect()}
+    for i, words in enumerate(own):
+        labels, best = set(), 0.0
+        for t in licenses.TEMPLATES:
+            post = t.postings()
+            for start in range(-30, len(words)):
+                agree = [(w, must) for rel, w, must in post if 0 <= start + rel < len(words) and words[start + rel] == w]
+                share = sum(idf[w] for w, _ in agree) / sum(idf[w] for _, w, _ in post)
+                if sum(must for _, must in agree) == sum(must for _, _, must in post) and share >= 0.6 - 1e-12:
+                    labels.add(t.label)
+                    best = max(best, share)
+        assert got[i][0] == ",".join(sorted(labels)) and got[i][1] == pytest.approx(min(best, 1.0))
