@@ -12,8 +12,9 @@ of about ``BLOCK_ROWS``, and only the blocks' counts are summed along a source.
 
 Defined results: a null text has size 0; a null source is a source, the last
 in order; sources without words take nothing; equal rows may take different
-numbers of copies, but the same ones in each run; an empty table gives an
-empty result.
+numbers of copies, but the same ones in each run; where more than 16,000 rows
+are equal in key, size and text, which of them take more follows the layout of
+the input; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -82,48 +83,45 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_copies: in
     )
 
 
-def copies(sizes: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES, draws: int = 16) -> DataFrame:
-    """``sizes`` (``source``, ``size``, ``doc_id``, ``_rid``; written) with
-    ``source_size``, ``target`` and the number of ``copies`` taken.
+def copies(sizes: DataFrame, seed: int = 7, weights: tuple[int, ...] = WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:
+    """``sizes`` (``source``, ``size``, ``doc_id``, ``_hash``, ``_rid``;
+    written) with ``source_size``, ``target`` and the number of ``copies`` taken.
 
-    Of ``draws`` random offsets a source uses the one that brings its words
-    nearest to its target; that matters where it has few documents.
+    The order within a source is by class of size, then by block of a hash of
+    the row, then by size. A block that equal rows have swelled is split by row
+    key. Counts are summed over the blocks of a class, then over the classes.
     """
     blocks = max(1, -(-sizes.count() // BLOCK_ROWS))
-    placed = sizes.withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")).withColumn(
-        "_block", F.pmod(F.xxhash64("doc_id", "size"), F.lit(blocks)).cast("int")
-    )
-    key = ["source", "_class", "_block"]
-    counted = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    before = counted.select(
-        *[F.col(k).alias(f"b{k}") for k in key],
-        F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_class", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+    dealt = sizes.withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int")).withColumn(
+        "_block", F.pmod(F.xxhash64("doc_id", "size", "_hash"), F.lit(blocks)).cast("int")
     )
+    null_safe = lambda keys, mark: F.expr(" and ".join(f"{k} <=> {mark}{k}" for k in keys))
+    part = ["source", "_class", "_block"]
+    swelled = dealt.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 4 * BLOCK_ROWS)
+    swelled = written(swelled.select(*[F.col(k).alias(f"w{k}") for k in part], F.ceil(F.col("_n") / BLOCK_ROWS).alias("_parts")), "mix-swelled")
+    dealt = dealt.join(small(swelled, MAX_BROADCAST_SOURCES), null_safe(part, "w"), "left").withColumn("_part", F.pmod(F.xxhash64("_rid"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    placed = dealt.drop(*[f"w{k}" for k in part], "_parts")
+    key = [*part, "_part"]
+    counted = written(placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")), "mix-blocks")
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    classes = counted.groupBy("source", "_class").agg(F.sum("_n").alias("_n"))
+    classes = classes.select(F.col("source").alias("csource"), F.col("_class").alias("c_class"), earlier(Window.partitionBy("source").orderBy("_class")).alias("_low"))
+    within = counted.select(*key, earlier(Window.partitionBy("source", "_class").orderBy("_block", "_part")).alias("_in"))
+    before = within.join(classes, null_safe(["source", "_class"], "c")).select(*[F.col(k).alias(f"b{k}") for k in key], (F.col("_low") + F.col("_in")).alias("_before"))
     rates = targets(sizes, weights, max_copies).select(F.col("source").alias("_source"), "source_size", "target", "rate")
-    numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id", "_rid")))
-    joined = numbered.join(before, F.expr(" and ".join(f"{k} <=> b{k}" for k in key)))
+    numbered = placed.withColumn("_row", F.row_number().over(Window.partitionBy(*key).orderBy("size", "doc_id", "_hash", "_rid")))
+    joined = numbered.join(before, null_safe(key, "b"))
     joined = joined.join(small(rates, MAX_BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("_source")))
-    joined = written(joined.withColumn("_place", F.col("_before") + F.col("_row")).drop(*[f"b{k}" for k in key], *key[1:], "_before", "_row"), "mix-places")
-
-    def taken(offset: Column) -> Column:
-        crossed = lambda n: F.floor(n * F.col("rate") + offset)
-        n = F.least(crossed(F.col("_place")) - crossed(F.col("_place") - 1), F.ceil("rate"), F.lit(max_copies))
-        return F.greatest(n, F.lit(0)).cast("long")
-
-    def draw(j: int) -> Column:
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(j), F.coalesce("_source", F.lit("\0"))), F.lit(1 << 30)) / float(1 << 30)
-
-    missed = [F.abs(F.sum(F.col("size") * taken(draw(j))) - F.first("target")) for j in range(draws)]
-    nearest = joined.groupBy("_source").agg(F.array_min(F.array(*[F.struct(m.alias("miss"), F.lit(j).alias("draw")) for j, m in enumerate(missed)])).alias("best"))
-    offset = F.get(F.array(*[draw(j) for j in range(draws)]), F.col("best.draw"))
-    nearest = nearest.select(F.col("_source").alias("_s"), offset.alias("_offset"))
-    chosen = joined.join(small(nearest, MAX_BROADCAST_SOURCES), F.col("_source").eqNullSafe(F.col("_s")))
-    return chosen.withColumn("copies", taken(F.col("_offset"))).drop("_source", "_s", "_offset", "_place", "rate")
+    place = F.col("_before") + F.col("_row")
+    offset = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("_source", F.lit("\0"))), F.lit(1 << 30)) / float(1 << 30)
+    crossed = lambda n: F.floor(n * F.col("rate") + offset)
+    taken = F.greatest(F.least(crossed(place) - crossed(place - 1), F.ceil("rate"), F.lit(max_copies)), F.lit(0)).cast("long")
+    return joined.withColumn("copies", taken).drop(*[f"b{k}" for k in key], *key[1:], "_before", "_row", "_source", "rate", "_hash")
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     return docs.select(
-        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text_or_empty(text)).alias("size")
+        F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), word_count(text_or_empty(text)).alias("size"), F.xxhash64(text).alias("_hash")
     )
 
 
@@ -137,8 +135,8 @@ def report(docs: DataFrame, seed: int = 7) -> DataFrame:
 
 def emit(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    whole = written(with_row_key(boxed(docs).withColumn("_size", word_count(text_or_empty("_row.text")))), "mix-rows")
-    sizes = whole.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_size").alias("size"), "_rid")
+    whole = written(with_row_key(boxed(docs).withColumn("_size", word_count(text_or_empty("_row.text"))).withColumn("_hash", F.xxhash64("_row.text"))), "mix-rows")
+    sizes = whole.select(F.col("_row.doc_id").alias("doc_id"), F.col("_row.source").alias("source"), F.col("_size").alias("size"), "_hash", "_rid")
     taken = copies(sizes, seed).filter(F.col("copies") > 0).select(F.col("_rid").alias("_key"), "copies")
     joined = whole.join(taken, F.col("_rid") == F.col("_key"))
     return unboxed(joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))))
