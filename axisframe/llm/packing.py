@@ -60,14 +60,13 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, ranks_path: str | None = N
                 ids = np.append(own.encode_to_numpy(text, allowed_special="all", disallowed_special=()).astype("<u4"), np.uint32(END_ID))
                 for k, (at, n) in enumerate(cuts(len(ids), capacity)):
                     part = ids[at : at + n]
-                    rows.append((rid, None if pd.isna(doc_id) else int(doc_id), k, at, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if keep_ids else [])))
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+                    rows.append((rid, doc_id, k, at, n, zlib.crc32(part.tobytes()), *([part.astype(np.int32)] if keep_ids else [])))
+            yield pd.DataFrame(rows, columns=names)
 
-    rows = with_row_key(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("_text")))
-    shape = "_rid long, doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
-    return rows.mapInPandas(encode, shape)
+    # keys pass as text: pandas would turn numbers beside nulls into floats
+    rows = with_row_key(docs.select(F.col("doc_id").cast("string").alias("doc_id"), text_or_empty().alias("_text")))
+    shape = "_rid long, doc_id string, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else "")
+    return rows.mapInPandas(encode, shape).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -149,9 +148,9 @@ def placed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[at] = base + (rank - low) % times * x
             yield batch.drop(columns="_rank").assign(sequence_id=sequence, offset=offset)
 
-    ranked = _ranks(found)
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(place, shape)
+    ranked = _ranks(found).withColumn("doc_id", F.col("doc_id").cast("string"))
+    shape = ", ".join(f"`{f.name}` {'string' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
+    return ranked.mapInPandas(place, shape).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _ranks(found: DataFrame) -> DataFrame:
