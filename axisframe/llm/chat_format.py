@@ -9,8 +9,10 @@ it stands itself, so no control string can appear there and a reader restores
 every text. The loss mask is a list of spans over the formatted string.
 
 Defined results: a null text is empty, a null role is the empty role; turns
-with equal numbers stand by role, then text, and repeated rows stay; a null
-conversation key is a conversation; an empty table gives an empty result;
+with equal numbers stand by role, then parts, and repeated rows stay; a part of
+a kind not known is its text, one without sizes expands to no tokens; a null
+conversation key is a conversation; a conversation is one value, so it must fit
+a row; an empty table gives an empty result;
 further columns are ignored.
 """
 
@@ -32,6 +34,7 @@ TRAINED = "assistant"
 
 #: Tokens of an image per square of 14 x 14 merged 2 x 2, of a second of audio, of a page.
 IMAGE_SQUARE, AUDIO_TOKENS_PER_SECOND, PAGE_TOKENS = 28, 25, 1024
+KINDS = ("text", "image", "audio", "document")
 
 
 @dataclass(frozen=True)
@@ -74,7 +77,7 @@ class Visitor:
         return escape(part.text)
 
     def visit_image(self, part: Part) -> str:
-        wide, high = part.size or (0, 0)
+        wide, high = (*part.size, 0, 0)[:2]
         return self._attach(part, math.ceil(wide / IMAGE_SQUARE) * math.ceil(high / IMAGE_SQUARE))
 
     def visit_audio(self, part: Part) -> str:
@@ -146,26 +149,41 @@ def plain(parts: list[Part]) -> str:
     return "".join(p.text for p in parts)
 
 
+#: The type of a column of typed parts.
+PARTS = "array<struct<kind:string,text:string,ref:string,size:array<double>>>"
+
+
 def conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, turns``: the ordered (turn, role, text) of each conversation."""
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    """``conv_id, turns``: the ordered (turn, role, parts) of each conversation.
+    ``parts`` is a column of :data:`PARTS`; without it, or where it is null, the
+    column ``text`` is the one part of a turn. The key passes as text, as pandas
+    would turn numbers beside nulls into floats."""
+    text = F.coalesce("text", F.lit("")) if "text" in turns.columns else F.lit("")
+    alone = F.array(F.struct(F.lit("text").alias("kind"), text.alias("text"), F.lit("").alias("ref"), F.array().cast("array<double>").alias("size")))
+    parts = F.coalesce(F.col("parts").cast(PARTS), alone) if "parts" in turns.columns else alone
+    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+    return turns.groupBy(F.col("conv_id").cast("string").alias("conv_id")).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+
+
+def _part(p: dict) -> Part:
+    size = () if p["size"] is None else tuple(p["size"])
+    return Part(p["kind"] if p["kind"] in KINDS else "text", p["text"] or "", p["ref"] or "", size)
 
 
 def formatted(turns: DataFrame) -> DataFrame:
-    """``conv_id, formatted, loss_spans, attachments`` of text conversations."""
+    """``conv_id, formatted, loss_spans, attachments`` of conversations of
+    typed parts; ``expanded_tokens`` sums what the attachments expand to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for key, own in zip(batch["conv_id"], batch["turns"]):
-                f = format_turns((t["role"], [Part("text", t["text"])]) for t in own)
-                rows.append((key, f.text, [list(s) for s in f.loss_spans], [vars(a) for a in f.attachments]))
-            yield pd.DataFrame(rows, columns=["conv_id", "formatted", "loss_spans", "attachments"]).astype({"conv_id": "Int64"})
+                f = format_turns((t["role"], [_part(p) for p in t["parts"]]) for t in own)
+                rows.append((key, f.text, [list(s) for s in f.loss_spans], [vars(a) for a in f.attachments], sum(a.tokens for a in f.attachments)))
+            yield pd.DataFrame(rows, columns=["conv_id", "formatted", "loss_spans", "attachments", "expanded_tokens"])
 
-    return conversations(turns).mapInPandas(
-        run, "conv_id long, formatted string, loss_spans array<array<long>>, attachments array<struct<kind:string,ref:string,tokens:int>>"
-    )
+    shape = "conv_id string, formatted string, loss_spans array<array<long>>, attachments array<struct<kind:string,ref:string,tokens:int>>, expanded_tokens long"
+    return conversations(turns).mapInPandas(run, shape).withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def digests(made: DataFrame) -> DataFrame:
@@ -180,9 +198,10 @@ def digests(made: DataFrame) -> DataFrame:
                 trained = "".join(unescape(text[a:b]) for a, b in spans)
                 rows.append((key, len(read), sha("".join(f"{r}\n{plain(p)}\n" for r, p in read)), len(trained), sha(trained), len(text)))
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-            yield pd.DataFrame(rows, columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
-    return made.mapInPandas(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    keyed = made.withColumn("conv_id", F.col("conv_id").cast("string"))
+    return keyed.mapInPandas(run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 #: Fixed value: the text of both turns of conversation -1.
