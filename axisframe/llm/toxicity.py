@@ -34,8 +34,6 @@ from .common import text_or_empty, written
 
 #: The most labelled rows that lexicon and logistic model are fitted on.
 MAX_LABELLED = 20_000
-#: The most features of the lexicon, by support among toxic rows.
-MAX_FEATURES = 60_000
 MIN_TOXIC, MIN_LOG_ODDS = 4, 2.0
 PREFIXES = (3, 4, 5, 6, 7)
 
@@ -184,6 +182,7 @@ class Scanner:
 
     def __init__(self, model: CharModel, lexicon: dict[str, float]):
         self.model, self.lexicon, self.cache = model, lexicon, {}
+        self.longest = max(map(len, lexicon), default=0)
 
     def weigh(self, word: str) -> float:
         get = self.lexicon.get
@@ -205,11 +204,12 @@ class Scanner:
         is decoded in overlapping pieces, and words are looked for at every
         place of what comes out."""
         found: dict[str, float] = {}
-        for at in range(0, max(1, len(letters) - 20), 40):
-            for word in decodings(letters[at : at + 60], self.model):
+        step = max(40, self.longest)
+        for at in range(0, max(1, len(letters) - 20), step):
+            for word in decodings(letters[at : at + step + max(20, self.longest)], self.model):
                 found[word] = self.weigh(word)
                 for i in range(len(word)):
-                    for k in range(least, 16):
+                    for k in range(least, min(self.longest, len(word) - i) + 1):
                         if word[i : i + k] in self.lexicon:
                             found[word[i : i + k]] = self.lexicon[word[i : i + k]]
         return list(found.values())
@@ -292,7 +292,7 @@ def learn_lexicon(rows: DataFrame, model: CharModel) -> dict[str, float]:
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return {}
-    found = _supports(toxic, model, None).filter(F.col("n") >= MIN_TOXIC).orderBy(F.desc("n"), "feature").limit(MAX_FEATURES)
+    found = _supports(toxic, model, None).filter(F.col("n") >= MIN_TOXIC)  # bounded by the words of MAX_LABELLED rows
     support = {r["feature"]: r["n"] for r in found.collect()}
     other = {r["feature"]: r["n"] for r in _supports(clean, model, set(support)).collect()}
     odds = {f: math.log((n + 0.5) / (n_toxic + 1)) - math.log((other.get(f, 0) + 0.5) / (n_clean + 1)) for f, n in support.items()}
@@ -380,9 +380,11 @@ def scored(docs: DataFrame, make: Callable[[], tuple[Scanner, np.ndarray]]) -> D
         scanner, w = make()
         for batch in batches:
             x = np.array([scanner.facts(t) for t in batch["_text"]], float).reshape(-1, 3)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(x @ w[:3] + w[3], -30, 30)))})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": 1 / (1 + np.exp(-np.clip(x @ w[:3] + w[3], -30, 30)))})
 
-    return docs.select("doc_id", "_text").mapInPandas(run, "doc_id long, score double")
+    # keys pass as text: pandas would turn numbers beside nulls into floats
+    keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "_text")
+    return keyed.mapInPandas(run, "doc_id string, score double").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
