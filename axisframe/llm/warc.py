@@ -1,6 +1,6 @@
 """Legacy ARC archives converted to WARC.
 
-:func:`parse_arc` reads version 1 and version 2 archives: the version block
+:func:`read_arc` reads version 1 and version 2 archives: the version block
 says which fields a header line has, and the declared length says where the
 next header begins. :func:`convert` gives each record what WARC asks for and
 ARC lacks: an identifier, a date in ISO form, a type and digests of block and
@@ -13,7 +13,8 @@ Archives pass through Spark's own readers and writers (``binaryFile``, and
 is bounded by ``ARCHIVE_BYTES``, or holds one larger record.
 
 Defined results: a null payload is empty; a null url becomes ``urn:unknown``;
-a null key is kept as none and is the last among equals; of equal rows with
+a null key is kept as none and is the last among equals; what is no header line
+or is cut short gives a row of the kind ``error``, not a failure; of equal rows with
 equal payloads one is the response; an empty table gives an empty result;
 further columns are left out.
 """
@@ -48,16 +49,22 @@ HEADINGS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+_GAP = re.compile(rb"\r?\n\r?\n")
+#: What Spark's writers put into file names at random.
+_RANDOM = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}")
 #: Fixed value: an empty gzip member, which ends each archive.
 END = gzip.compress(b"", 1, mtime=0)
 
 
 @dataclass
 class ArcRecord:
+    """``error`` says why a stretch of an archive could not be read."""
+
     version: int
     fields: dict[str, str]
     block: bytes
     offset: int
+    error: str = ""
 
 
 def unzipped(content: bytes) -> bytes:
@@ -82,49 +89,65 @@ def members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
         yield b"".join(out)
 
 
-def parse_arc(content: bytes) -> Iterator[ArcRecord]:
-    """The records of an archive after its version block. Urls may hold
+def _header(line: bytes, version: int) -> dict[str, str] | None:
+    """The fields of a header line, or None if it is none. Urls may hold
     spaces: the other fields are counted from the end of the line."""
-    data, at, version = unzipped(content), 0, 0
+    names = FIELDS[version]
+    values = line.decode("utf-8", "replace").rsplit(" ", len(names) - 1)
+    return dict(zip(names, values)) if len(values) == len(names) and values[-1].isdigit() and values[2].isdigit() else None
+
+
+def parse_arc(content: bytes) -> Iterator[ArcRecord]:
+    """The records of an archive after its version block; an archive that
+    cannot be read throughout is a ValueError."""
+    for record in read_arc(content):
+        if record.error:
+            raise ValueError(f"{record.error} at {record.offset}")
+        yield record
+
+
+def read_arc(content: bytes) -> Iterator[ArcRecord]:
+    """The records of an archive after its version block. What cannot be read
+    gives one record with an error, and reading goes on at the next line that
+    is a header; an archive without a version block gives its error alone."""
+    try:
+        data = unzipped(content)
+    except (ValueError, zlib.error) as e:
+        yield ArcRecord(0, {}, b"", 0, f"not readable: {e}")
+        return
+    end = data.find(b"\n")
+    opening = data[: end if end >= 0 else len(data)].rstrip(b"\r")
+    length = opening.rsplit(b" ", 1)[-1]
+    block = data[end + 1 : end + 1 + int(length)] if end >= 0 and length.isdigit() else b""
+    number = block.split(b" ", 1)[0]
+    if not opening.startswith(b"filedesc:") or not number.isdigit() or int(number) not in FIELDS:
+        yield ArcRecord(0, {}, b"", 0, "no version block that is known")
+        return
+    version, at, lost = int(number), end + 1 + int(length), False
     while at < len(data):
         end = data.find(b"\n", at)
         end = len(data) if end < 0 else end
         line = data[at:end].rstrip(b"\r")
-        if not line:
-            at = end + 1
-            continue
-        text = line.decode("utf-8", "replace")
-        if not version:
-            if not text.startswith("filedesc:"):
-                raise ValueError("an ARC archive begins with its filedesc line")
-            length = int(text.rsplit(" ", 1)[1])
-            block = data[end + 1 : end + 1 + length]
-            version = int(block.split(b" ", 1)[0])
-            if version not in FIELDS:
-                raise ValueError(f"ARC version {version}")
+        fields = _header(line, version) if line else None
+        if fields:
+            block = data[end + 1 : end + 1 + int(fields["length"])]
+            short = len(block) < int(fields["length"])
+            yield ArcRecord(version, fields, block, at, "shorter than declared" if short else "")
+            at, lost = end + 1 + int(fields["length"]), False
         else:
-            names = FIELDS[version]
-            values = text.rsplit(" ", len(names) - 1)
-            if len(values) < len(names) or not values[-1].isdigit():
-                raise ValueError(f"no header line of version {version} at {at}")
-            length = int(values[-1])
-            block = data[end + 1 : end + 1 + length]
-            if len(block) < length:
-                raise ValueError(f"the record at {at} is shorter than it declares")
-            yield ArcRecord(version, dict(zip(names, values)), block, at)
-        at = end + 1 + length
+            if line and not lost:
+                lost = True
+                yield ArcRecord(version, {}, b"", at, "no header line")
+            at = end + 1
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes]:
     """Head (with its empty line) and payload of an HTTP response; no head if
-    there is none."""
+    there is none. The first empty line ends the head, however lines end."""
     if not block.startswith(b"HTTP/"):
         return b"", block
-    for gap in (b"\r\n\r\n", b"\n\n"):
-        at = block.find(gap)
-        if at >= 0:
-            return block[: at + len(gap)], block[at + len(gap) :]
-    return block, b""
+    gap = _GAP.search(block)
+    return (block[: gap.end()], block[gap.end() :]) if gap else (block, b"")
 
 
 def iso_date(arc_date: str) -> str:
@@ -140,43 +163,48 @@ def header_field(head: bytes, name: str) -> str | None:
     return m[1].decode("utf-8", "replace") if m else None
 
 
-RECORD = "record_id string, url string, warc_date string, kind string, mime string, page_id long, payload_bytes long, payload_digest string, block_digest string"
+def page_key(head: bytes) -> str | None:
+    """The page key that a head carries, as text; None if it is no integer."""
+    found = header_field(head, "X-Page-Id")
+    return found if found and re.fullmatch(r"-?\d{1,18}|-?[1-8]\d{18}|9[01]\d{17}|922\d{16}", found) else None
+
+
+#: Keys pass as text: pandas would turn numbers beside nulls into floats.
+RECORD = "record_id string, url string, warc_date string, kind string, mime string, page_id string, payload_bytes long, payload_digest string, block_digest string"
 
 
 def convert(arcs: DataFrame, with_block: bool = True) -> DataFrame:
     """WARC records of ARC archives (``archive``, ``content``): HTTP captures
     are responses, all else resources; ``head`` and ``payload`` if asked for.
+    What could not be read is a row of the kind ``error`` with its place and
+    reason as ``url`` and ``mime``.
 
-    The identifier is a name-based UUID of archive, offset, url, date and
-    payload, so every run gives the same one."""
+    The identifier is a name-based UUID of archive (without what Spark's writer
+    adds at random), offset, url, date and payload, so every run gives the same one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split(" ")[0] for f in RECORD.split(", ")] + (["head", "payload"] if with_block else [])
         for batch in batches:
             for archive, content in zip(batch["archive"], batch["content"]):
-                rows, held = [], 0
-                for r in parse_arc(content):
+                rows, held, stable = [], 0, _RANDOM.sub("", archive or "")
+                for r in read_arc(content or b""):
                     f = r.fields
+                    if r.error:
+                        rows.append((f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{stable} {r.offset}')}>", f"{stable}@{r.offset}", None, "error", r.error, None, 0, None, None) + ((b"", b"") if with_block else ()))
+                        continue
                     head, payload = split_http(r.block)
                     digest = hashlib.sha256(payload).hexdigest()
-                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{archive} {r.offset} {f['url']} {f['date']} {digest}")
-                    page = header_field(head, "X-Page-Id")
+                    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{stable} {r.offset} {f['url']} {f['date']} {digest}")
                     block = base64.b32encode(hashlib.sha1(r.block).digest()).decode() if with_block else None
-                    row = (f"<urn:uuid:{name}>", f["url"], iso_date(f["date"]), "response" if head else "resource", f["content_type"], int(page) if page else None, len(payload), digest, block)
+                    row = (f"<urn:uuid:{name}>", f["url"], iso_date(f["date"]), "response" if head else "resource", f["content_type"], page_key(head), len(payload), digest, block)
                     rows.append(row + ((head, payload) if with_block else ()))
                     held += len(r.block)
                     if with_block and held > ARCHIVE_BYTES:
-                        yield _frame(rows, names)
+                        yield pd.DataFrame(rows, columns=names)
                         rows, held = [], 0
-                yield _frame(rows, names)
-
-    return arcs.mapInPandas(run, RECORD + (", head binary, payload binary" if with_block else ""))
-
+                yield pd.DataFrame(rows, columns=names)
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["page_id"] = out["page_id"].astype("Int64")
-    return out
+    return arcs.mapInPandas(run, RECORD + (", head binary, payload binary" if with_block else "")).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def mark_revisits(records: DataFrame) -> DataFrame:
@@ -206,6 +234,7 @@ def _warc_record(r) -> bytes:
         lines += [
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"WARC-Refers-To: {r.to_id}", f"WARC-Refers-To-Target-URI: {r.to_url}", f"WARC-Refers-To-Date: {r.to_date}",
+            f"X-Payload-Length: {r.payload_bytes}",
         ]
     else:
         lines.append(f"WARC-Block-Digest: sha1:{r.block_digest}")
@@ -215,7 +244,7 @@ def _warc_record(r) -> bytes:
 
 def write_warc(records: DataFrame, path: str) -> None:
     """Writes records with ``head``, ``payload``, ``to_id``, ``to_url`` and
-    ``to_date`` as archives below ``path``."""
+    ``to_date`` as archives below ``path``; rows of errors are no records."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held = [], 0
@@ -230,7 +259,7 @@ def write_warc(records: DataFrame, path: str) -> None:
         if out:
             yield pd.DataFrame({"content": [b"".join(out)]})
 
-    write_archives(records.mapInPandas(run, "content binary"), path)
+    write_archives(records.filter("kind <> 'error'").mapInPandas(run, "content binary"), path)
 
 
 def write_archives(archives: DataFrame, path: str) -> None:
@@ -246,7 +275,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
 
 
-WARC_ROW = "record_id string, record_type string, url string, warc_date string, payload_digest string, payload_bytes long, page_id long, to_id string"
+WARC_ROW = "record_id string, record_type string, url string, warc_date string, payload_digest string, payload_bytes long, page_id string, to_id string"
 
 
 def parse_warc(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -261,8 +290,8 @@ def parse_warc(record: bytes) -> tuple[dict[str, str], bytes]:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the archives below ``path``; a response's payload is
-    measured anew and held against its digest, a revisit's length is that in
-    its HTTP head."""
+    measured anew and held against its digest, a revisit's length is the one
+    that the converter put down (or, from elsewhere, that in its HTTP head)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split(" ")[0] for f in WARC_ROW.split(", ")]
@@ -278,20 +307,20 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     digest = f["warc-payload-digest"].partition(":")[2]
                     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"{f['warc-record-id']}: the payload does not have its digest")
-                    page = header_field(head, "X-Page-Id")
-                    n = int(header_field(head, "Content-Length") or 0) if revisit else len(payload)
-                    rows.append((f["warc-record-id"], f["warc-type"], f["warc-target-uri"], f["warc-date"], digest, n, int(page) if page else None, f.get("warc-refers-to")))
-                yield _frame(rows, names)
+                    declared = f.get("x-payload-length") or header_field(head, "Content-Length") or ""
+                    n = (int(declared) if declared.isdigit() else 0) if revisit else len(payload)
+                    rows.append((f["warc-record-id"], f["warc-type"], f["warc-target-uri"], f["warc-date"], digest, n, page_key(head), f.get("warc-refers-to")))
+                yield pd.DataFrame(rows, columns=names)
 
-    return read_archives(spark, path).mapInPandas(run, WARC_ROW)
+    return read_archives(spark, path).mapInPandas(run, WARC_ROW).withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def pages_to_arc(pages: DataFrame, captured: str = "20240102030405", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """``content`` of legacy archives that hold ``pages`` (``page_id``, ``url``,
     ``html``) as HTTP captures; by turns of version 1 and 2, gzip members."""
 
-    def head_of(page_id, payload: bytes) -> bytes:
-        own = "" if pd.isna(page_id) else f"X-Page-Id: {int(page_id)}\r\n"
+    def head_of(page_id: str | None, payload: bytes) -> bytes:
+        own = f"X-Page-Id: {page_id}\r\n" if page_id else ""
         return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n{own}\r\n".encode()
 
     def opening(version: int) -> bytes:
@@ -319,7 +348,7 @@ def pages_to_arc(pages: DataFrame, captured: str = "20240102030405", archive_byt
         if out:
             yield pd.DataFrame({"content": [b"".join(out)]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "content binary")
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html").mapInPandas(run, "content binary")
 
 
 def report(pages: DataFrame) -> DataFrame:
