@@ -1,6 +1,6 @@
 """Near-duplicate documents by circulant MinHash, banding and exact checks.
 
-A text's set holds hashes of its 2-word shingles. Rows with one and the same
+A text's set holds hashes of its shingles of ``width`` words (2 in the query). Rows with one and the same
 set form a class, and only classes are compared. Coordinate ``k`` of a
 signature is the least ``pi(sigma(x) + k)`` over the set: ``sigma`` and ``pi``
 are two fixed permutations of the 32-bit numbers, and adding ``k`` modulo 2^32
@@ -46,7 +46,8 @@ LEAST_EQUAL = int(SIZE * PERCENT / 100 - 5 * (SIZE * 0.8 * 0.2) ** 0.5)
 
 #: Rows of a block of a bucket.
 BLOCK = 800
-BROADCAST_ROWS = 1_000_000
+#: Rows of at most some 40 bytes, so 8 MB of a broadcast.
+BROADCAST_ROWS = 200_000
 
 
 class _WordHashes(dict):
@@ -59,14 +60,19 @@ class _WordHashes(dict):
         return value
 
 
-def shingle_set(text: str | None, cache: _WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of a text's 2-word shingles. For bytes,
-    lower() changes A-Z only and split() cuts at 0x20 and 0x09-0x0D only."""
+def shingle_set(text: str | None, cache: _WordHashes, width: int = 2) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; of fewer than ``width``
+    words the whole is one. For bytes, lower() changes A-Z only and split()
+    cuts at 0x20 and 0x09-0x0D only."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    if len(h) > 1:
-        a, b = h[:-1], h[1:]
-        h = a * np.uint64(0x9E3779B97F4A7C15) + ((b << np.uint64(31)) | (b >> np.uint64(33)))
+    k = min(width, len(h))
+    if k > 1:
+        n = len(h) - k + 1
+        words_, h = h, h[:n]
+        for i in range(1, k):
+            b = words_[i : i + n]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + ((b << np.uint64(31)) | (b >> np.uint64(33)))
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
@@ -97,33 +103,40 @@ def signature(items: np.ndarray) -> bytes:
     return least.astype(np.uint8).tobytes()
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = _WordHashes()
-    for batch in batches:
-        rows = []
-        for rid, text in zip(batch["_rid"], batch["_text"]):
-            items = shingle_set(text, cache)
-            n = len(items)
-            rows.append((rid, n, xxhash.xxh3_128_digest(items.tobytes()) if n else None, signature(items) if n else None))
-        yield pd.DataFrame(rows, columns=["_rid", "n", "cid", "sig"])
+def _signed(width: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _WordHashes()
+        for batch in batches:
+            rows = []
+            for rid, text in zip(batch["_rid"], batch["_text"]):
+                items = shingle_set(text, cache, width)
+                n = len(items)
+                rows.append((rid, n, xxhash.xxh3_128_digest(items.tobytes()) if n else None, signature(items) if n else None))
+            yield pd.DataFrame(rows, columns=["_rid", "n", "cid", "sig"])
 
+    return run
 
-def _linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _linked(width: int):
     """The pairs whose full sets are near enough."""
-    cache = _WordHashes()
-    last, kept = None, None
-    for batch in batches:
-        good = []
-        for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
-            if b != last:
-                last, kept = b, shingle_set(tb, cache)
-            own = shingle_set(ta, cache)
-            both = len(np.intersect1d(own, kept, assume_unique=True)) if 100 * min(len(own), len(kept)) >= PERCENT * max(len(own), len(kept)) else 0
-            good.append(100 * both >= PERCENT * (len(own) + len(kept) - both))
-        yield batch.loc[np.array(good, bool), ["a", "b"]]
-
-
-def _near(batch: pd.DataFrame) -> pd.DataFrame:
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = _WordHashes()
+        last, kept = None, None
+        for batch in batches:
+            good = []
+            for a, b, ta, tb in zip(batch["a"], batch["b"], batch["ta"], batch["tb"]):
+                if b != last:
+                    last, kept = b, shingle_set(tb, cache, width)
+                own = shingle_set(ta, cache, width)
+                both = len(np.intersect1d(own, kept, assume_unique=True)) if 100 * min(len(own), len(kept)) >= PERCENT * max(len(own), len(kept)) else 0
+                good.append(100 * both >= PERCENT * (len(own) + len(kept) - both))
+            yield batch.loc[np.array(good, bool), ["a", "b"]]
+
+    return run
+
+
+def _near(batch: pd.DataFrame, width: int) -> pd.DataFrame:
     """Of one block, or of two blocks of a bucket, links that join components.
 
     A pair of like sizes and different roots is looked at in the first band
@@ -138,7 +151,7 @@ def _near(batch: pd.DataFrame) -> pd.DataFrame:
 
     def full(at: int) -> np.ndarray:
         if at not in sets:
-            sets[at] = shingle_set(texts[at], cache)
+            sets[at] = shingle_set(texts[at], cache, width)
         return sets[at]
 
     second = np.flatnonzero(block == j)
@@ -160,13 +173,13 @@ def _near(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     """The pairs (``a``, ``b``) of row keys whose texts are near duplicates."""
     needed = small(pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct(), BROADCAST_ROWS)
     side = lambda key, name: texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi").select(F.col("_rid").alias(key), F.col("_text").alias(name))
     full = pairs.join(side("_a", "ta"), F.col("a") == F.col("_a")).drop("_a")
     full = full.join(side("_b", "tb"), F.col("b") == F.col("_b")).drop("_b")
-    return full.mapInPandas(_linked, "a long, b long")
+    return full.mapInPandas(_linked(width), "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
@@ -199,7 +212,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+def links(classes: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     """Confirmed links (``a``, ``b``) that connect the classes (``c``, ``n``,
     ``sig``) just as all pairs near enough would."""
     key = lambda i: F.shiftleft(F.xxhash64(i, F.substring("sig", i * ROWS + 1, F.lit(ROWS))), BAND_BITS).bitwiseOR(i.cast("long"))
@@ -207,7 +220,7 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     shared = places.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
     shared = written(shared.select(F.col("bucket").alias("_bucket"), "least"), "buckets")
     members = written(places.join(small(shared, BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).select("bucket", "c", "least"), "members")
-    stars = written(confirmed(written(members.filter("c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "pairs"), texts), "links")
+    stars = written(confirmed(written(members.filter("c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "pairs"), texts, width), "links")
     roots = components(stars).select(F.col("node").alias("_node"), "root")
     placed = members.join(small(roots, BROADCAST_ROWS), F.col("c") == F.col("_node"), "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
     placed = written(placed, "placed")
@@ -221,24 +234,24 @@ def links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     rest = rest.join(facts, F.col("c") == F.col("_c")).drop("_c").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("x"), F.greatest(o, "block").alias("y")))
     rest = rest.withColumn("_m", F.explode(meets)).select("bucket", F.col("_m.x").alias("x"), F.col("_m.y").alias("y"), "block", "c", "root", "n", "sig", "_text")
-    return stars.unionByName(rest.groupBy("bucket", "x", "y").applyInPandas(_near, "a long, b long"))
+    return stars.unionByName(rest.groupBy("bucket", "x", "y").applyInPandas(lambda batch: _near(batch, width), "a long, b long"))
 
 
 def _order(key: Column) -> Column:
     return F.struct(key.isNull().alias("unknown"), key.alias("id"), F.col("_rid").alias("rid"))
 
 
-def grouped(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def grouped(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
     """For written ``rows`` with ``_rid``: ``_rid``, ``n`` and ``first``, the
     ``id`` and ``rid`` of the first row of the row's component."""
     texts = rows.select("_rid", text_or_empty(text).alias("_text"))
-    signed = written(texts.mapInPandas(_signed, "_rid long, n long, cid binary, sig binary"), "signatures")
+    signed = written(texts.mapInPandas(_signed(width), "_rid long, n long, cid binary, sig binary"), "signatures")
     ids = rows.select("_rid", F.col(doc_id).alias("_id"))
     full = signed.filter("n > 0")
     owners = ids.join(full.select(F.col("_rid").alias("_r"), "cid"), F.col("_rid") == F.col("_r")).drop("_r")
     by_class = written(owners.groupBy("cid").agg(F.min("_rid").alias("c"), F.min(_order(F.col("_id"))).alias("first")), "classes")
     reps = written(full.select("_rid", "n", "sig").join(by_class.select("c"), F.col("_rid") == F.col("c")).select("c", "n", "sig"), "representatives")
-    roots = written(components(written(links(reps, texts), "links")), "roots")
+    roots = written(components(written(links(reps, texts, width), "links")), "roots")
     joined = by_class.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
     least = joined.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "_root")
     firsts = written(joined.join(least, F.col("root") == F.col("_root")).select(F.col("cid").alias("_cid"), F.col("least")), "firsts")
@@ -255,10 +268,10 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_rows(docs: DataFrame) -> DataFrame:
+def keep_rows(docs: DataFrame, width: int = 5) -> DataFrame:
     """``docs`` with one row of each component, the one of the smallest key;
-    rows with empty sets stay."""
+    rows with empty sets stay. Shingles have ``width`` words."""
     rows = written(with_row_key(boxed(docs)), "dedup-rows")
-    gone = grouped(rows, "_row.doc_id", "_row.text").filter("n > 0 and _rid <> first_rid").select(F.col("_rid").alias("_key"))
+    gone = grouped(rows, "_row.doc_id", "_row.text", width).filter("n > 0 and _rid <> first_rid").select(F.col("_rid").alias("_key"))
     gone = small(written(gone, "gone"), BROADCAST_ROWS)
     return unboxed(rows.join(gone, F.col("_rid") == F.col("_key"), "left_anti"))
