@@ -15,7 +15,7 @@ from .array import LabeledArray
 from .functions import calendar, geo, numeric
 from .functions.geo import Affine
 from .operators import dense, raster
-from .operators.base import L, P, T, V
+from .operators.base import L, P, T, V, small
 from .operators.reshape import concat, stack
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,13 +100,13 @@ def _events(spark, sf) -> LabeledArray:
 _EVENTS = "(select cast(event_id as double) event, case when event_id % 7 = 0 then null else value end x from events)"
 
 
-def _balance(spark, sf, table: str, key: str, value: str) -> LabeledArray:
-    rows = _t(spark, sf, table).filter(F.col(key) % 3 != (0 if table == "customer" else 1)).groupBy(F.col(key).cast("double").alias("nation")).agg(_exact(value).alias("x"))
-    return LabeledArray.from_table(rows, ["nation"], "x", table)
+def _shipped(spark, sf) -> LabeledArray:
+    """Quantity by ship day; days are others than those of orders."""
+    rows = _t(spark, sf, "lineitem").groupBy(_day("l_shipdate").alias("day")).agg(_exact("l_quantity").alias("x"))
+    return LabeledArray.from_table(rows, ["day"], "x", "shipped")
 
 
-_CUSTOMER = "(select cast(c_nationkey as double) nation, cast(sum(cast(c_acctbal as decimal(18,2))) as double) x from customer where c_nationkey % 3 <> 0 group by 1)"
-_SUPPLIER = "(select cast(s_nationkey as double) nation, cast(sum(cast(s_acctbal as decimal(18,2))) as double) x from supplier where s_nationkey % 3 <> 1 group by 1)"
+_SHIPPED = "(select date_diff('day', date '1970-01-01', cast(l_shipdate as date)) * 86400.0::double as day, cast(sum(cast(l_quantity as decimal(18,2))) as double) x from lineitem group by 1)"
 
 
 def _cells(a: LabeledArray, digits: int | None = 4, value: str = "x", **names: str) -> DataFrame:
@@ -172,16 +172,15 @@ def concat_ranges(spark, sf):
     low, high = brands.sel_range("size", 1.0, 10.0), brands.sel_range("size", 11.0, 30.0)
     out = concat([low, high], "size")
     names = a.axis("brand").select(F.col(P("brand")).alias("_p"), F.col(T("brand")).alias("brand"))
-    return out.df.join(F.broadcast(names), F.col(P("brand")) == F.col("_p")).select(F.col(L("size")).alias("size"), "brand", F.round(V, 4).alias("x"))
+    return out.df.join(small(names), F.col(P("brand")) == F.col("_p")).select(F.col(L("size")).alias("size"), "brand", F.round(V, 4).alias("x"))
 
 
-@query(f"select k, nation, round(x, 4) x from (select 1.0::double k, * from {_CUSTOMER} where nation % 3 = 2 union all select 2.0::double k, * from {_SUPPLIER} where nation % 3 = 2)")
-def stack_balances(spark, sf):
-    pick = lambda a: a._new(a.df.filter(F.col(L("nation")) % 3 == 2), sizes={})._repacked("nation")
-    a, b = pick(_balance(spark, sf, "customer", "c_nationkey", "c_acctbal")), pick(_balance(spark, sf, "supplier", "s_nationkey", "s_acctbal"))
-    if a.labels("nation") != b.labels("nation"):
-        return (_cells(a).withColumn("k", F.lit(1.0)).unionByName(_cells(b).withColumn("k", F.lit(2.0)))).select("k", "nation", "x")
-    return _cells(stack([a, b], "k", [1.0, 2.0]))
+@query(f"select k, day, round(x, 2) x from (select 1.0::double k, day, coalesce(a.x, 0) x from {_DAILY} a full join {_SHIPPED} b using (day) union all select 2.0::double k, day, coalesce(b.x, 0) x from {_DAILY} a full join {_SHIPPED} b using (day))")
+def stack_aligned(spark, sf):
+    """Both sides are brought to all labels of either, then stacked."""
+    a, b = _both(spark, sf)
+    left, right = a.combine(b, lambda x, y: x, "outer", 0.0), a.combine(b, lambda x, y: y, "outer", 0.0)
+    return _cells(stack([left, right], "k", [1.0, 2.0]), 2)
 
 
 @query(f"select flag, supp, round(x, 4) x from {_QUANTITY}")
@@ -193,34 +192,34 @@ def transpose_dims(spark, sf):
 
 
 def _both(spark, sf):
-    return _balance(spark, sf, "customer", "c_nationkey", "c_acctbal"), _balance(spark, sf, "supplier", "s_nationkey", "s_acctbal")
+    return _daily(spark, sf), _shipped(spark, sf)
 
 
-@query(f"select nation, round(a.x + b.x, 2) x from {_CUSTOMER} a join {_SUPPLIER} b using (nation)")
+@query(f"select day, round(a.x + b.x, 2) x from {_DAILY} a join {_SHIPPED} b using (day)")
 def add_inner(spark, sf):
     a, b = _both(spark, sf)
     return _cells(a + b, 2)
 
 
-@query(f"select nation, round(coalesce(a.x, 0) - coalesce(b.x, 0), 2) x from {_CUSTOMER} a full join {_SUPPLIER} b using (nation)")
+@query(f"select day, round(coalesce(a.x, 0) - coalesce(b.x, 0), 2) x from {_DAILY} a full join {_SHIPPED} b using (day)")
 def sub_outer(spark, sf):
     a, b = _both(spark, sf)
     return _cells(a.sub_join(b, "outer", 0.0), 2)
 
 
-@query(f"select nation, round(a.x * coalesce(b.x, 1) / 1e6, 2) x from {_CUSTOMER} a left join {_SUPPLIER} b using (nation)")
+@query(f"select day, round(a.x * coalesce(b.x, 1) / 1e6, 2) x from {_DAILY} a left join {_SHIPPED} b using (day)")
 def mul_left(spark, sf):
     a, b = _both(spark, sf)
     return _cells(a.mul_join(b, "left", 1.0).mul_scalar(1 / 1e6), 2)
 
 
-@query(f"select nation, round(coalesce(a.x, 1) / b.x, 6) x from {_CUSTOMER} a right join {_SUPPLIER} b using (nation)")
+@query(f"select day, round(coalesce(a.x, 1) / b.x, 6) x from {_DAILY} a right join {_SHIPPED} b using (day)")
 def div_right(spark, sf):
     a, b = _both(spark, sf)
     return _cells(a.div_join(b, "right", 1.0), 6)
 
 
-@query(f"select nation, round(greatest(a.x, b.x), 2) x from {_CUSTOMER} a join {_SUPPLIER} b using (nation)")
+@query(f"select day, round(greatest(a.x, b.x), 2) x from {_DAILY} a join {_SHIPPED} b using (day)")
 def maximum_inner(spark, sf):
     a, b = _both(spark, sf)
     return _cells(a.maximum(b), 2)
@@ -232,7 +231,7 @@ def broadcast_by_name(spark, sf):
     totals = _t(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(_exact("o_totalprice").alias("x"))
     a, b = LabeledArray.from_table(regions, ["region"], "x"), LabeledArray.from_table(totals, ["priority"], "x", "", ["priority"])
     names = b.axis("priority").select(F.col(P("priority")).alias("_p"), F.col(T("priority")).alias("priority"))
-    out = (a + b).df.join(F.broadcast(names), F.col(P("priority")) == F.col("_p"))
+    out = (a + b).df.join(small(names), F.col(P("priority")) == F.col("_p"))
     return out.select(F.col(L("region")).alias("region"), "priority", F.round(V, 2).alias("x"))
 
 
@@ -291,9 +290,9 @@ def arg_min(spark, sf):
 @query(f"select cast(count(x) as bigint) n, cast(count(*) - count(x) as bigint) n_na, round(sum(x), 2) total, round(avg(x), 6) mean, min(x) least, max(x) most from {_EVENTS}")
 def skipna_totals(spark, sf):
     a = _events(spark, sf)
-    v = F.col(V)
-    some = numeric.kept(v)
-    return a.df.agg(F.count(some).alias("n"), F.count(F.when(numeric.nan_at(v), 1)).alias("n_na"), F.round(F.sum(some), 2).alias("total"), F.round(F.avg(some), 6).alias("mean"), F.min(some).alias("least"), F.max(some).alias("most"))
+    found = {n: a.value(how) for n, how in (("n", "count"), ("n_na", "count_na"), ("total", "sum_skipna"), ("mean", "mean_skipna"), ("least", "min_skipna"), ("most", "max_skipna"))}
+    rows = spark.createDataFrame([tuple(found.values())], "n long, n_na long, total double, mean double, least double, most double")
+    return rows.withColumn("total", F.round("total", 2)).withColumn("mean", F.round("mean", 6))
 
 
 # -- groups
@@ -304,7 +303,7 @@ _PRICES = "(select date_diff('day', date '1970-01-01', cast(l_shipdate as date))
 
 def _flagged(a: LabeledArray, out: LabeledArray, digits: int = 2) -> DataFrame:
     names = a.axis("flag").select(F.col(P("flag")).alias("_p"), F.col(T("flag")).alias("flag"))
-    return out.df.join(F.broadcast(names), F.col(P("flag")) == F.col("_p")).select(F.col(L("day")).alias("day"), "flag", F.round(F.col(V).cast("double"), digits).alias("x"))
+    return out.df.join(small(names), F.col(P("flag")) == F.col("_p")).select(F.col(L("day")).alias("day"), "flag", F.round(F.col(V).cast("double"), digits).alias("x"))
 
 
 @query(f"select cast(epoch(date_trunc('month', to_timestamp(day) at time zone 'UTC')) as double) as day, flag, round(sum(x), 2) x from {_PRICES} group by 1, 2")
@@ -322,10 +321,10 @@ def resample_calendar_year(spark, sf):
 def _climate(component: str, sql: str) -> None:
     def run(spark, sf):
         a = _prices(spark, sf)
-        return _flagged(a, a.group_by_time("day", component).mean(), 4)
+        return _flagged(a, a.group_by_time("day", component).mean(), 5)
 
     run.__name__ = f"climatology_{component}"
-    query(f"select cast({sql} as double) as day, flag, round(avg(x), 4) x from (select to_timestamp(day) at time zone 'UTC' t, flag, x from {_PRICES}) group by 1, 2")(run)
+    query(f"select cast({sql} as double) as day, flag, round(avg(x), 5) x from (select to_timestamp(day) at time zone 'UTC' t, flag, x from {_PRICES}) group by 1, 2")(run)
 
 
 for _c, _q in {"month": "month(t)", "weekday": "dayofweek(t)", "dayofyear": "dayofyear(t)", "season": "(month(t) % 12) // 3"}.items():
@@ -493,12 +492,19 @@ def matrix_product(spark, sf):
     return out.df.select(F.col(P("0")).alias("i"), F.col(P("1")).alias("j"), F.round(V, 1).alias("x"))
 
 
-@query()
+_STANDARD = f"(select r, (s - avg(s) over ()) / stddev_pop(s) over () a, (p - avg(p) over ()) / stddev_pop(p) over () b from {_FEATURES})"
+
+
+@query(
+    f"with recursive m as materialized (select count(*) n, sum(a * a) aa, sum(a * b) ab, sum(b * b) bb, sum(a) a, sum(b) b, sum(a * (3 * b + 1)) ay, sum(b * (3 * b + 1)) hy, sum(3 * b + 1) y from {_STANDARD}),"
+    " g as (select 0 e, 0.0::double u, 0.0::double v, 0.0::double w union all select e + 1, u - 0.1 * (u * aa + v * ab + w * m.a - ay) / n, v - 0.1 * (u * ab + v * bb + w * m.b - hy) / n, w - 0.1 * (u * m.a + v * m.b + w * n - y) / n from g, m where e < 200)"
+    " select unnest([0, 1, 2])::int i, round(unnest([u, v, w]), 6) + 0.0 w from g where e = 200"
+)
 def linear_regression(spark, sf):
     x, _, _ = dense.standardize(_features(spark, sf))
     y = dense.DenseArray(x.df.filter(F.col(P("1")) == 1).select(P("0"), (F.col(V) * 3 + 1).alias(V)), (x.shape[0],))
     model = dense.LinearRegression(0.1, 200).fit(x, y)
-    return spark.createDataFrame([(i, float(w)) for i, w in enumerate([*model.weights, model.bias])], "i int, w double")
+    return spark.createDataFrame([(i, round(float(w), 6) + 0.0) for i, w in enumerate([*model.weights, model.bias])], "i int, w double")
 
 
 # -- geography
@@ -529,16 +535,31 @@ def affine_pixels(spark, sf):
     return _places(spark, sf).select("event_id", F.round(col, 6).alias("col"), F.round(row, 6).alias("row"))
 
 
-@query()
+@query(
+    "with k as (select f / (2 - f) n, sqrt(f * (2 - f)) e from (select 1 / 298.257223563::double f)),"
+    f" t as (select event_id, n, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) t, lam from (select event_id, lat * pi() / 180 phi, lon / 60 * pi() / 180 lam from {_PLACES}), k),"
+    " z as (select event_id, n, atan2(t, cos(lam)) xi, asinh(sin(lam) / sqrt(t * t + cos(lam) * cos(lam))) eta from t),"
+    " c as (select *, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 a2, 61 * n ** 3 / 240 a3, 0.9996 * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) r from z)"
+    " select event_id, round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 2) + 0.0 x,"
+    " round(r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 2) + 0.0 y from c"
+)
 def utm_coordinates(spark, sf):
     x, y = geo.transform("EPSG:4326", "EPSG:32631", F.col("lon") / 60 + 3, F.col("lat"))
-    return _places(spark, sf).select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+    return _places(spark, sf).select("event_id", (F.round(x, 2) + 0.0).alias("x"), (F.round(y, 2) + 0.0).alias("y"))
 
 
-@query()
+@query(
+    "with s as (select 6378137.0::double a, 6356752.31414::double b, 35785831.0::double h),"
+    f" g as (select event_id, a, b, h, atan((b / a) ** 2 * tan(lat * pi() / 180)) c, lon * pi() / 180 lam from {_PLACES}, s),"
+    " v as (select *, b / sqrt(1 - (1 - (b / a) ** 2) * cos(c) ** 2) r from g),"
+    " p as (select *, a + h - r * cos(c) * cos(lam) r1, -r * cos(c) * sin(lam) r2, r * sin(c) r3 from v),"
+    " w as (select *, r1 * (a + h - r1) - r2 * r2 - r3 * r3 * (a / b) ** 2 >= 0 seen from p)"
+    " select event_id, case when seen then round(atan(-r2 / r1) * h, 1) + 0.0 else -1.0 end x, case when seen then round(asin(r3 / sqrt(r1 * r1 + r2 * r2 + r3 * r3)) * h, 1) + 0.0 else -1.0 end y, seen from w"
+)
 def geostationary_view(spark, sf):
     x, y, seen = geo.Geostationary().forward(F.col("lon"), F.col("lat"))
-    return _places(spark, sf).select("event_id", F.round(x, 2).alias("x"), F.round(y, 2).alias("y"), seen.alias("seen"))
+    shown = lambda c: F.when(seen, F.round(c, 1) + 0.0).otherwise(-1.0)
+    return _places(spark, sf).select("event_id", shown(x).alias("x"), shown(y).alias("y"), seen.alias("seen"))
 
 
 # -- calendar components of timestamps

@@ -138,7 +138,7 @@ class Align:
 
     def _arith(self, other, op: Op):
         if isinstance(other, (int, float)):
-            return self._new(self.df.withColumn(V, op(F.col(V), F.lit(other))), texts=())
+            return self._new(self.df.withColumn(V, op(F.col(V), F.lit(other))), same_axes=True, texts=())
         return self.combine(other, op)
 
     def maximum(self, other):
@@ -171,7 +171,7 @@ class Align:
         keys = [c for c in self.keys([dim]) if not c.startswith("T_")] + [c for c in other.keys([dim]) if not c.startswith("T_")]
         out = self.df.join(right, F.col(P(dim)) == F.col("_k")).groupBy(*keys).agg(F.sum(F.col(V) * F.col("_w")).alias(V))
         dims = [d for d in self.dims if d != dim] + rest
-        return self._new(out, dims=dims, sizes=self._sizes | other._sizes, labelled=(self.labelled | other.labelled) - {dim}, texts=())
+        return self._new(out, dims=dims, sizes=self._sizes | other._sizes, labelled=(self.labelled | other.labelled) - {dim}, texts=(), attrs={}, coord_attrs={})
 
     def bilinear(self, x_dim: str, y_dim: str, x: float, y: float):
         """Value at a point between four grid positions; both dimensions go.

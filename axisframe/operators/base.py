@@ -17,7 +17,8 @@ import uuid
 from collections.abc import Iterable, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T_
 
 V = "v"
 #: Cells per block of scans along a dimension.
@@ -47,34 +48,46 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder of ``spark.checkpoint.dir`` and read back;
-    in local mode without that setting, to a temporary folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; in local mode without that
+    setting, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="axisframe-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def number(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Rows numbered from 0 in order. Up to ``BROADCAST_ROWS`` rows are numbered
-    at once; beyond, ranges of the order are written, counted and numbered side
-    by side, so that no task holds them all."""
-    found = df.limit(BROADCAST_ROWS + 1).toArrow()
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> tuple[DataFrame, int]:
+    """Rows numbered from 0 in order, and how many there are. Up to
+    ``BROADCAST_ROWS`` rows are sorted and numbered at once; beyond, ranges of
+    the order are written, counted and numbered side by side, so that no task
+    holds them all."""
+    found = df.orderBy(*order).limit(BROADCAST_ROWS + 1).toArrow()
     if found.num_rows <= BROADCAST_ROWS:
-        return df.sparkSession.createDataFrame(found, df.schema).withColumn(name, (F.row_number().over(Window.orderBy(*order)) - 1).cast("long"))
+        schema = T_.StructType([*df.schema.fields, T_.StructField(name, T_.LongType())])
+        return df.sparkSession.createDataFrame(found.append_column(name, pa.array(range(found.num_rows), pa.int64())), schema), found.num_rows
     df = settled(df)
     ranged = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     before = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
     before = before.select(F.col("_part").alias("_q"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return ranged.withColumn("_own", own).join(F.broadcast(before), F.col("_part") == F.col("_q")).withColumn(name, (F.col("_base") + F.col("_own") - 1).cast("long")).drop("_part", "_q", "_own", "_base")
+    out = ranged.withColumn("_own", own).join(F.broadcast(before), F.col("_part") == F.col("_q")).withColumn(name, (F.col("_base") + F.col("_own") - 1).cast("long")).drop("_part", "_q", "_own", "_base")
+    return out, ranged.count()
+
+
+def number(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    return numbered(df, order, name)[0]
 
 
 class Base:
@@ -103,9 +116,17 @@ class Base:
         keep = [d for d in self.dims if d not in set(without)]
         return [P(d) for d in keep] + [L(d) for d in keep if d in self.labelled] + [T(d) for d in keep if d in self.texts]
 
-    def _new(self, df: DataFrame, **changes: Any):
+    def _new(self, df: DataFrame, same_axes: bool = False, **changes: Any):
+        """An array with ``df`` and ``changes``; ``same_axes`` says that the
+        dimensions that stay keep positions and labels."""
         own = {"dims": self.dims, "sizes": self._sizes, "labelled": self.labelled, "texts": self.texts, "name": self.name, "attrs": self.attrs, "coord_attrs": self.coord_attrs}
-        return type(self)(df, **(own | changes))
+        made = type(self)(df, **(own | changes))
+        if same_axes:
+            for d in made.dims:
+                columns = [P(d)] + [L(d)] * (d in made.labelled) + [T(d)] * (d in made.texts)
+                if d in self._axes and set(columns) <= set(self._axes[d].columns):
+                    made._axes[d] = self._axes[d].select(*columns)
+        return made
 
     @classmethod
     def from_flat(
@@ -136,15 +157,16 @@ class Base:
     def from_table(cls, table: DataFrame, dims: Sequence[str], value: Column | str, name: str = "", text_dims: Sequence[str] = ()):
         """From a table with one row per cell: labels of each dimension are the
         distinct values in order, positions their ranks. Absent cells stay
-        absent; :meth:`dense` fills them."""
+        absent; :meth:`dense` fills them. A null label is one, the first. The
+        table is read once: its cells are written, and axes come from those."""
         value = F.col(value) if isinstance(value, str) else value
-        out = table.select(*[F.col(d) for d in dims], value.alias(V))
+        out = settled(table.select(*[F.col(d) for d in dims], value.alias(V)))
         sizes, axes = {}, {}
         for d in dims:
-            axis = number(out.select(d).distinct(), [F.col(d).asc()], P(d)).withColumnRenamed(d, "_label")
-            sizes[d] = axis.count()
+            axis, sizes[d] = numbered(out.select(d).distinct(), [F.col(d).asc()], P(d))
+            axis = axis.withColumnRenamed(d, "_label")
             axes[d] = axis.select(P(d), F.col("_label").alias(T(d) if d in text_dims else L(d)))
-            out = out.join(small(axis), F.col(d) == F.col("_label")).drop("_label")
+            out = out.join(F.broadcast(axis) if sizes[d] <= BROADCAST_ROWS else axis, F.col(d).eqNullSafe(F.col("_label"))).drop("_label")
             out = out.withColumnRenamed(d, T(d) if d in text_dims else L(d))
         made = cls(out, dims, sizes, [d for d in dims if d not in text_dims], text_dims, name)
         made._axes = axes
@@ -154,7 +176,8 @@ class Base:
     def size(self, dim: str) -> int:
         self.need(dim)
         if self._sizes[dim] is None:
-            self._sizes[dim] = (self.df.agg(F.max(P(dim))).first()[0] or -1) + 1 if self.df.limit(1).count() else 0
+            last = self.df.agg(F.max(P(dim))).first()[0]
+            self._sizes[dim] = 0 if last is None else last + 1
         return self._sizes[dim]
 
     @property

@@ -68,6 +68,12 @@ class LabeledDataset:
             raise ArrayError(f"no variable has dimension {dim!r}")
         return LabeledDataset({k: f(a) if dim is None or a.has_dim(dim) else a for k, a in self.arrays.items()}, check=False)
 
+    def _converted(self, dim: str, f: Callable) -> LabeledDataset:
+        """The same where values take a new type: variables without ``dim`` are
+        converted, which leaves their attributes and text labels behind."""
+        bare = lambda a: a if a.has_dim(dim) else a._new(a.df, texts=(), attrs={}, coord_attrs={})
+        return LabeledDataset({k: bare(a) for k, a in self.arrays.items()}, check=False)._map(dim, f)
+
     def isel(self, dim: str, index: int):
         return self._map(dim, lambda a: a.isel(dim, index))
 
@@ -75,7 +81,7 @@ class LabeledDataset:
         return self._map(dim, lambda a: a.sel(dim, label))
 
     def reduce(self, dim: str, how):
-        return self._map(dim, lambda a: a.reduce(dim, how))
+        return self._converted(dim, lambda a: a.reduce(dim, how))
 
     def cumsum(self, dim: str):
         return self._map(dim, lambda a: a.cumsum(dim))
@@ -146,7 +152,7 @@ class _Each:
         return self.make(next(a for a in self.dataset.arrays.values() if a.has_dim(self.dim))).n_groups()
 
     def agg(self, how):
-        return self.dataset._map(self.dim, lambda a: self.make(a).agg(how))
+        return self.dataset._converted(self.dim, lambda a: self.make(a).agg(how))
 
     def sum(self):
         return self.agg("sum")

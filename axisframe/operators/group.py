@@ -42,7 +42,7 @@ class Grouped:
         axis = number(self._buckets().withColumnRenamed("_bucket", "_b"), [F.col("_b")], P(d))
         out = out.join(small(axis), F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn(L(d), F.col("_bucket"))
         dims = [d, *[x for x in a.dims if x != d]]
-        return a._new(out, dims=dims, sizes=a._sizes | {d: None}, labelled=a.labelled | {d}, texts=())
+        return a._new(out, dims=dims, sizes=a._sizes | {d: None}, labelled=a.labelled | {d}, texts=(), attrs={}, coord_attrs={})
 
     def sum(self):
         return self.agg("sum")
@@ -126,4 +126,4 @@ class _Blocks(Grouped):
         keys = [c for c in a.keys([d]) if not c.startswith("T_")]
         grouped = self.cells.filter(self.keep).groupBy(self.bucket.alias("_bucket"), F.col("_first"), *keys).agg(f(F.col(V), F.col(P(d))).alias(V))
         out = grouped.withColumn(P(d), F.col("_bucket")).withColumn(L(d), F.col("_first"))
-        return a._new(out, dims=[d, *[x for x in a.dims if x != d]], sizes=a._sizes | {d: None}, labelled=a.labelled | {d}, texts=())
+        return a._new(out, dims=[d, *[x for x in a.dims if x != d]], sizes=a._sizes | {d: None}, labelled=a.labelled | {d}, texts=(), attrs={}, coord_attrs={})

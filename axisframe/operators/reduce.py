@@ -63,7 +63,7 @@ class Reduce:
         f = AGGREGATES[how] if isinstance(how, str) else how
         keys = [c for c in self.keys([dim]) if not c.startswith("T_")]
         out = self.df.groupBy(*keys).agg(f(_v(), F.col(P(dim))).alias(V)) if keys else self.df.agg(f(_v(), F.col(P(dim))).alias(V))
-        return self._new(out, dims=[d for d in self.dims if d != dim], texts=())
+        return self._new(out, same_axes=True, dims=[d for d in self.dims if d != dim], texts=(), coord_attrs={})
 
     def total(self, how: str | Callable[[Column, Column], Column]) -> DataFrame:
         """All cells as one row with ``v``. Positions in C order decide where

@@ -18,12 +18,12 @@ class Reshape:
     def squeeze(self, dim: str):
         if self.size(dim) != 1:
             raise ArrayError(f"{dim!r} has {self.size(dim)} positions")
-        return self._new(self.df, dims=[d for d in self.dims if d != dim])
+        return self._new(self.df, dims=[d for d in self.dims if d != dim], texts=(), attrs={}, coord_attrs={})
 
     def expand_dims(self, dim: str):
         if dim in self.dims:
             raise ArrayError(f"{dim!r} is there already")
-        return self._new(self.df.withColumn(P(dim), F.lit(0).cast("long")), dims=(dim, *self.dims), sizes=self._sizes | {dim: 1})
+        return self._new(self.df.withColumn(P(dim), F.lit(0).cast("long")), dims=(dim, *self.dims), sizes=self._sizes | {dim: 1}, texts=(), attrs={}, coord_attrs={})
 
     def rename_dim(self, old: str, new: str):
         self.need(old)
@@ -31,8 +31,7 @@ class Reshape:
             raise ArrayError(f"{new!r} is there already")
         swap = lambda ds: [new if d == old else d for d in ds]
         df = self.df.withColumnsRenamed({P(old): P(new), L(old): L(new), T(old): T(new)})
-        attrs = {new if d == old else d: a for d, a in self.coord_attrs.items()}
-        return self._new(df, dims=swap(self.dims), sizes={new if d == old else d: s for d, s in self._sizes.items()}, labelled=swap(self.labelled), texts=swap(self.texts), coord_attrs=attrs)
+        return self._new(df, dims=swap(self.dims), sizes={new if d == old else d: s for d, s in self._sizes.items()}, labelled=swap(self.labelled), texts=(), attrs={}, coord_attrs={})
 
 
 def concat(arrays: Sequence, dim: str):
@@ -59,7 +58,7 @@ def concat(arrays: Sequence, dim: str):
 
         axis = first.axis(d).select(F.col(P(d)).alias("_p"), L(d))
         out = out.join(small(axis), F.col(P(d)) == F.col("_p")).drop("_p")
-    return first._new(out, sizes={d: first.size(d) for d in others} | {dim: before}, labelled=[*labelled, *([dim] if keep else [])], texts=())
+    return first._new(out, sizes={d: first.size(d) for d in others} | {dim: before}, labelled=[*labelled, *([dim] if keep else [])], texts=(), attrs={}, coord_attrs={})
 
 
 def stack(arrays: Sequence, dim: str, labels: Sequence[float] | None = None):
@@ -74,4 +73,4 @@ def stack(arrays: Sequence, dim: str, labels: Sequence[float] | None = None):
         part = part.withColumn(L(dim), F.lit(float(labels[i]))) if labels is not None else part
         out = part if out is None else out.unionByName(part)
     labelled = set(first.labelled) | ({dim} if labels is not None else set())
-    return first._new(out, dims=(dim, *first.dims), sizes={dim: len(arrays)} | dict(zip(first.dims, first.shape)), labelled=labelled, texts=())
+    return first._new(out, dims=(dim, *first.dims), sizes={dim: len(arrays)} | dict(zip(first.dims, first.shape)), labelled=labelled, texts=(), attrs={}, coord_attrs={})

@@ -15,7 +15,7 @@ class Scalar:
     def apply(self, f: Callable[[Column], Column]):
         """Any Column function of the cell; a Python function enters as a
         pandas UDF, batch by batch."""
-        return self._new(self.df.withColumn(V, f(F.col(V))))
+        return self._new(self.df.withColumn(V, f(F.col(V))), same_axes=True, texts=())
 
     def apply_python(self, f: Callable[[float], float]):
         """A Python function of one number, run over Arrow batches."""

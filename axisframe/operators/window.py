@@ -35,7 +35,7 @@ class Rolling:
         cells = _haloed(a, d, n - 1).withColumn(V, F.col(V).cast("double"))
         w = Window.partitionBy(*a.others(d), "_block").orderBy(P(d)).rowsBetween(-(n - 1), 0)
         out = cells.withColumn("_x", F.when(F.col(P(d)) >= n - 1, ROLLING[how](F.col(V), w, F.col(P(d)))).otherwise(F.lit(NAN)))
-        return a._new(out.filter(~F.col("_halo")).withColumn(V, F.coalesce("_x", F.lit(NAN))), texts=())
+        return a._new(out.filter(~F.col("_halo")).withColumn(V, F.coalesce("_x", F.lit(NAN))), same_axes=True, texts=(), attrs={}, coord_attrs={})
 
     def mean(self):
         return self.agg("mean")
@@ -88,23 +88,10 @@ class Windowed:
         return self._new(cells.withColumn(V, F.coalesce("_before", F.lit(0)) + F.sum(V).over(w)))
 
     def cumprod(self, dim: str):
-        """Running product; blocks bound what one window collects."""
-        self.need(dim)
-        value = F.col(V).cast("double")
-        signed = lambda agg: (  # noqa: E731  exp of summed logs, with zeros, signs and NaN apart
-            F.when(agg(F.when(F.isnan(value), 1).otherwise(0)) > 0, F.lit(NAN))
-            .when(agg(F.when(value == 0, 1).otherwise(0)) > 0, F.lit(0.0))
-            .otherwise(F.exp(agg(F.when(value != 0, F.ln(F.abs(value))).otherwise(0.0))) * F.when(agg(F.when(value < 0, 1).otherwise(0)) % 2 == 1, -1.0).otherwise(1.0))
-        )
-        block = self.df.withColumn("_block", self.block_of(dim))
-        keys = [*self.others(dim), "_block"]
-        blocks = block.groupBy(*keys).agg(signed(F.sum).alias("_bv"))
-        lines = Window.partitionBy(*self.others(dim)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.aggregate(F.collect_list("_bv").over(lines), F.lit(1.0), lambda a, x: a * x)
-        blocks = blocks.select(*[F.col(k).alias(f"_k{k}") for k in keys], before.alias("_before"))
-        cells = block.join(blocks, [F.col(k) == F.col(f"_k{k}") for k in keys])
-        w = Window.partitionBy(*keys).orderBy(P(dim)).rowsBetween(Window.unboundedPreceding, 0)
-        return self._new(cells.withColumn(V, F.col("_before") * signed(lambda x: F.sum(x).over(w))))
+        """Running product, multiplied out block by block."""
+        cells = _carried(self, dim, F.product(F.col(V).cast("double")), lambda b, w: F.product(b).over(w), "_before")
+        w = Window.partitionBy(*self.others(dim), "_block").orderBy(P(dim)).rowsBetween(Window.unboundedPreceding, 0)
+        return self._new(cells.withColumn(V, F.coalesce("_before", F.lit(1.0)) * F.product(F.col(V).cast("double")).over(w)), same_axes=True)
 
     def diff(self, dim: str):
         """Each cell less the one before; labels are those of the later."""
@@ -113,12 +100,12 @@ class Windowed:
         cells = _haloed(self, dim, 1).withColumn("_prev", F.lag(V).over(w)).filter(~F.col("_halo") & (F.col(P(dim)) > 0))
         out = cells.withColumn(V, F.col(V) - F.col("_prev")).withColumn(P(dim), F.col(P(dim)) - 1)
         size = self._sizes[dim]
-        return self._new(out, sizes=self._sizes | {dim: None if size is None else max(0, size - 1)}, texts=())
+        return self._new(out, sizes=self._sizes | {dim: None if size is None else max(0, size - 1)}, texts=(), attrs={})
 
-    def _last_valid(self, dim: str, backward: bool, what: Column, name: str) -> DataFrame:
+    def _last_valid(self, dim: str, backward: bool, what: Column, name: str, cells: DataFrame | None = None) -> DataFrame:
         """The nearest cell with a value before (or after) each, as ``what``."""
         step = -F.col(P(dim)) if backward else F.col(P(dim))
-        cells = self.df.withColumn("_block", self.block_of(dim))
+        cells = (self.df if cells is None else cells).withColumn("_block", self.block_of(dim))
         valid = F.when(~numeric.nan_at(F.col(V)), what)
         keys = [*self.others(dim), "_block"]
         blocks = cells.groupBy(*keys).agg(F.max_by(valid, F.when(valid.isNotNull(), step)).alias("_bv"))
@@ -143,9 +130,7 @@ class Windowed:
         self.need(dim)
         at = F.col(L(dim)) if dim in self.labelled else F.col(P(dim))
         what = F.struct(at.cast("double").alias("x"), F.col(V).alias("y"))
-        before = self._last_valid(dim, False, what, "_f")
-        after = self._last_valid(dim, True, what, "_b").select(*[F.col(P(d)).alias(f"_{P(d)}") for d in self.dims], F.col("_b"))
-        both = before.join(after, [F.col(P(d)) == F.col(f"_{P(d)}") for d in self.dims])
+        both = self._last_valid(dim, True, what, "_b", self._last_valid(dim, False, what, "_f"))
         f, b = F.col("_f"), F.col("_b")
         between = f["y"] + (b["y"] - f["y"]) * numeric.ieee_div(at.cast("double") - f["x"], b["x"] - f["x"])
         fill = F.when(numeric.nan_at(F.col(V)) & f.isNotNull() & b.isNotNull(), between).otherwise(F.col(V))

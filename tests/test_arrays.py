@@ -185,3 +185,53 @@ def test_dense_and_models(spark):
     assert dense.mean_squared_error(model.predict(N([2, 1], [0, 1])), N([2], [1, 3])) < 1e-3
     with pytest.raises(ArrayError):
         dense.LinearRegression().predict(N([1, 1], [1]))
+
+
+def test_one_position(A):
+    """A dimension of one position is one in every family, after narrowing too."""
+    a = A(["x", "y"], [3, 2], range(6), coords={"x": [1, 2, 3], "y": [5, 6]}, attrs={"u": "K"})
+    one = a.sel_range("x", 2, 2)
+    assert one.shape == (1, 2) and one.size("x") == 1 and one.n_cells == 2
+    same(one.isel("x", 0).flat(), [2, 3])
+    same(one.squeeze("x").flat(), [2, 3])
+    assert a.coarsen("x", 3).mean().squeeze("x").dims == ("y",)
+    same(one.sum("x").flat(), [2, 3])
+    same((one + one).flat(), [4, 6])
+    same(one.rolling("x", 1).mean().flat(), [2, 3])
+    assert one.expand_dims("z").shape == (1, 1, 2) and concat([one, one], "x").shape == (2, 2) and stack([one, one], "k").shape == (2, 1, 2)
+    assert a._new(a.df.filter("false"), sizes={}).shape == (0, 0)
+
+
+def test_null_labels(spark):
+    """A null label is a position like others, the first; no cell is lost."""
+    from axisframe import LabeledArray
+
+    table = spark.createDataFrame([(None, "a", 5.0), (1.0, "a", 7.0), (None, None, 2.0)], "x double, t string, v double")
+    a = LabeledArray.from_table(table, ["x", "t"], "v", text_dims=["t"])
+    assert a.shape == (2, 2) and a.df.count() == 3 and a.value("sum") == 14.0
+    assert a.text_labels("t") == [None, "a"] and a.labels("x") == [None, 1.0]
+
+
+def test_running_product_is_real(A):
+    a = A(["x"], [4], [2.0, float("inf"), 0.0, 3.0])
+    same(a.cumprod("x").flat(), [2.0, float("inf"), NAN, NAN])
+    same(A(["x"], [4], [-0.5, 3.0, 1 / 3, NAN]).cumprod("x").flat(), [-0.5, -1.5, -0.5, NAN])
+
+
+@pytest.mark.parametrize(
+    "name, make, attrs, coord, texts",
+    [
+        ("take", lambda a: a.take("x", [1, 0]), 1, 1, 1), ("isel", lambda a: a.isel("y", 0), 1, 1, 1), ("where", lambda a: a.where(lambda v: v > 1), 1, 1, 1),
+        ("ffill", lambda a: a.ffill("x"), 1, 1, 1), ("cumsum", lambda a: a.cumsum("x"), 1, 1, 1), ("cumprod", lambda a: a.cumprod("x"), 1, 1, 1), ("name", lambda a: a.renamed("n"), 1, 1, 1),
+        ("sqrt", lambda a: a.sqrt(), 1, 1, 0), ("scalar", lambda a: a + 1.0, 1, 1, 0), ("transpose", lambda a: a.transpose("y", "x"), 1, 1, 0),
+        ("binary", lambda a: a + a, 0, 1, 0), ("diff", lambda a: a.diff("x"), 0, 1, 0), ("reduce", lambda a: a.sum("y"), 1, 0, 0),
+        ("group", lambda a: a.group_by("x").sum(), 0, 0, 0), ("coarsen", lambda a: a.coarsen("x", 2).mean(), 0, 0, 0), ("rolling", lambda a: a.rolling("x", 2).mean(), 0, 0, 0),
+        ("concat", lambda a: concat([a, a], "x"), 0, 0, 0), ("stack", lambda a: stack([a, a], "k"), 0, 0, 0), ("squeeze", lambda a: a.take("y", [0]).squeeze("y"), 0, 0, 0),
+        ("expand", lambda a: a.expand_dims("k"), 0, 0, 0), ("rename", lambda a: a.rename_dim("y", "z"), 0, 0, 0), ("dot", lambda a: a.dot(a.rename_dim("x", "w"), "y"), 0, 0, 0),
+        ("untouched", lambda a: LabeledDataset({"a": a, "b": a.isel("y", 0)}, check=False).sum("y")["b"], 0, 0, 0),
+    ],
+)
+def test_what_metadata_survives(A, name, make, attrs, coord, texts):
+    a = A(["x", "y"], [2, 2], [1, 2, 3, 4], coords={"x": [1, 2]}, texts={"x": ["p", "q"]}).with_attr("units", "K").with_coord_attr("x", "units", "m")
+    out = make(a)
+    assert (out.attrs == {"units": "K"}, out.coord_attrs == {"x": {"units": "m"}}, bool(out.texts)) == (bool(attrs), bool(coord), bool(texts)), name

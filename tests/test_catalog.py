@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from axisframe import catalog
+from axisframe import catalog, catalog_families  # noqa: F401  the families register themselves
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
