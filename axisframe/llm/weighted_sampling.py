@@ -79,7 +79,7 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """``_rid, _next, _half`` of written ``rows`` (``_rid, doc_id, _hash,
+    """``_rid, doc_id, _next, _half`` of written ``rows`` (``_rid, doc_id, _hash,
     _chars``): the row that follows in order of key (after the last: the
     first), and half of the row's length."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_rid").asc()]
@@ -91,20 +91,21 @@ def successors(rows: DataFrame) -> DataFrame:
     firsts = F.broadcast(firsts.select(F.col("_part").alias("_p"), F.coalesce("_after", "_top").alias("_after")))
     inside = F.lead("_rid").over(Window.partitionBy("_part").orderBy(*order))
     found = keys.withColumn("_next", inside).join(firsts, F.col("_part") == F.col("_p"))
-    return found.select("_rid", F.coalesce("_next", "_after").alias("_next"), "_half")
+    return found.select("_rid", "doc_id", F.coalesce("_next", "_after").alias("_next"), "_half")
 
 
 def paired(rows: DataFrame, following: DataFrame) -> DataFrame:
-    """The rows in ``following`` with ``_edited`` and ``_next``."""
+    """``_rid, _text, _edited`` of the rows in ``following``. All columns are
+    used wherever this is, so that its exchanges are made once."""
     wanted = small(following.select(F.col("_rid").alias("_to"), F.col("_next").alias("_from"), "_half"), BROADCAST_ROWS)
-    texts = rows.select("_rid", "doc_id", "_text")
-    heads = texts.join(wanted, F.col("_rid") == F.col("_from")).select("_to", "_from", "_half", F.expr("substring(_text, 1, _half)").alias("_head"))
+    texts = rows.select("_rid", "_text")
+    heads = texts.join(wanted, F.col("_rid") == F.col("_from")).select("_to", "_half", F.expr("substring(_text, 1, _half)").alias("_head"))
     edited = F.expr("concat(substring(_text, 1, length(_text) - _half), _head)").alias("_edited")
-    return texts.join(heads, F.col("_rid") == F.col("_to")).select("_rid", "doc_id", "_text", edited, F.col("_from").alias("_next"))
+    return texts.join(heads, F.col("_rid") == F.col("_to")).select("_rid", "_text", edited)
 
 
 def signed(rows: DataFrame, following: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame:
-    """``_rid, doc_id, n_chars, _next``, ``edited_sha256`` and the signatures
+    """``_rid``, ``n_chars``, ``edited_sha256`` and the signatures
     ``fingerprint`` and ``edited_fingerprint``; written."""
 
     def side_by_side(which: DataFrame, limit: float | None) -> DataFrame:
@@ -115,7 +116,7 @@ def signed(rows: DataFrame, following: DataFrame, size: int = SIZE, bound: float
         made = signatures(texts, ["_rid", "kind"], size=size, bound=limit).groupBy("_rid").agg(
             of(0, "signature").alias("fingerprint"), of(1, "signature").alias("edited_fingerprint"), F.max("open").alias("open")
         )
-        facts = both.select("_rid", "doc_id", "_next", F.length("_text").cast("long").alias("n_chars"), F.unhex(F.sha2("_edited", 256)).alias("edited_sha256"))
+        facts = both.select("_rid", F.length("_text").cast("long").alias("n_chars"), F.unhex(F.sha2("_edited", 256)).alias("edited_sha256"))
         return written(made.join(facts, "_rid"), "fingerprints")
 
     quick = side_by_side(following, bound)
@@ -130,9 +131,10 @@ def report(docs: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame
     whose last half is the next document's beginning, and their likeness."""
     rows = with_row_key(docs.select("doc_id", text_or_empty().alias("_text")))
     rows = written(rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_chars", F.length("_text")), "fingerprint-rows")
-    found = signed(rows, written(successors(rows), "fingerprint-next"), size, bound)
-    wanted = found.select(F.col("_rid").alias("_to"), F.col("_next").alias("_from"))
-    near = found.select("_rid", F.col("fingerprint").alias("_following")).join(wanted, F.col("_rid") == F.col("_from")).select("_to", "_following")
+    following = written(successors(rows), "fingerprint-next")
+    found = signed(rows, following, size, bound)
+    wanted = following.select(F.col("_rid").alias("_to"), "doc_id", F.col("_next").alias("_from"))
+    near = found.select("_rid", F.col("fingerprint").alias("_following")).join(wanted, F.col("_rid") == F.col("_from")).select("_to", "doc_id", "_following")
     text = lambda c: F.lower(F.hex(c)).alias(c)
     return found.join(near, F.col("_rid") == F.col("_to")).select(
         "doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"),
