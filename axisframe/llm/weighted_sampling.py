@@ -19,6 +19,10 @@ a text that lacks a coordinate then is signed again without the bound.
 Only keys are put in order, by range; a text moves to the document before it,
 and both to where they are signed, by exchanges on a row key that has no
 repeats, so neither equal keys nor the number of documents make a task large.
+Texts are read from ``docs`` again instead of from a copy. A row is the one
+meant if row key and hash of the text agree, so that its text is right
+whatever order a second read has; if rows do not find theirs in it, as the
+source was dealt out otherwise, a copy is written and used.
 
 Defined results: a null text is empty, all empty texts share one fingerprint;
 a null key comes first in order; equal keys are ordered by a hash of their text,
@@ -79,41 +83,45 @@ def likeness(a: Column, b: Column, size: int = SIZE) -> Column:
 
 
 def successors(rows: DataFrame) -> DataFrame:
-    """``_rid, doc_id, _next, _half`` of written ``rows`` (``_rid, doc_id, _hash,
-    _chars``): the row that follows in order of key (after the last: the
-    first), and half of the row's length."""
+    """``_rid, _hash, doc_id, _next, _next_hash, _half`` of written ``rows``
+    (``_rid, doc_id, _hash, _chars``): the row that follows in order of key
+    (after the last: the first), and half of the row's length."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("_hash").asc(), F.col("_rid").asc()]
     keys = rows.select("_rid", "doc_id", "_hash", F.expr("int(floor(_chars / 2))").alias("_half"))
     keys = written(keys.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "fingerprint-order")
     rank = F.struct(F.col("doc_id").isNotNull(), "doc_id", "_hash", "_rid")
-    firsts = keys.groupBy("_part").agg(F.min_by("_rid", rank).alias("_first"))  # a row per partition of the range exchange
+    row = F.struct("_rid", "_hash")
+    firsts = keys.groupBy("_part").agg(F.min_by(row, rank).alias("_first"))  # a row per partition of the range exchange
     firsts = firsts.select("_part", F.lead("_first").over(Window.orderBy("_part")).alias("_after"), F.first("_first").over(Window.orderBy("_part")).alias("_top"))
     firsts = F.broadcast(firsts.select(F.col("_part").alias("_p"), F.coalesce("_after", "_top").alias("_after")))
-    inside = F.lead("_rid").over(Window.partitionBy("_part").orderBy(*order))
+    inside = F.lead(row).over(Window.partitionBy("_part").orderBy(*order))
     found = keys.withColumn("_next", inside).join(firsts, F.col("_part") == F.col("_p"))
-    return found.select("_rid", "doc_id", F.coalesce("_next", "_after").alias("_next"), "_half")
-
-
-def paired(rows: DataFrame, following: DataFrame) -> DataFrame:
-    """``_rid, _text, _edited`` of the rows in ``following``. All columns are
-    used wherever this is, so that its exchanges are made once."""
-    wanted = small(following.select(F.col("_rid").alias("_to"), F.col("_next").alias("_from"), "_half"), BROADCAST_ROWS)
-    texts = rows.select("_rid", "_text")
-    heads = texts.join(wanted, F.col("_rid") == F.col("_from")).select("_to", "_half", F.expr("substring(_text, 1, _half)").alias("_head"))
+    found = found.withColumn("_next", F.coalesce("_next", "_after"))
+    return found.select("_rid", "_hash", "doc_id", F.col("_next._rid").alias("_next"), F.col("_next._hash").alias("_next_hash"), "_half")
+
+
+def paired(texts: DataFrame, following: DataFrame) -> DataFrame:
+    """``_rid, _text, _edited`` of the rows in ``following``, from ``texts``
+    (``_rid, _hash, _text``). All columns are used wherever this is, so that
+    its exchanges are made once."""
+    wanted = following.select(F.col("_rid").alias("_to"), F.col("_hash").alias("_to_hash"), F.col("_next").alias("_from"), F.col("_next_hash").alias("_from_hash"), "_half")
+    wanted = small(wanted, BROADCAST_ROWS)
+    heads = texts.join(wanted, (F.col("_rid") == F.col("_from")) & (F.col("_hash") == F.col("_from_hash")))
+    heads = heads.select("_to", "_to_hash", "_half", F.expr("substring(_text, 1, _half)").alias("_head"))
     edited = F.expr("concat(substring(_text, 1, length(_text) - _half), _head)").alias("_edited")
-    return texts.join(heads, F.col("_rid") == F.col("_to")).select("_rid", "_text", edited)
+    return texts.join(heads, (F.col("_rid") == F.col("_to")) & (F.col("_hash") == F.col("_to_hash"))).select("_rid", "_text", edited)
 
 
-def signed(rows: DataFrame, following: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame:
+def signed(texts: DataFrame, following: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame:
     """``_rid``, ``n_chars``, ``edited_sha256`` and the signatures
     ``fingerprint`` and ``edited_fingerprint``; written."""
 
     def side_by_side(which: DataFrame, limit: float | None) -> DataFrame:
         one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("text"))
-        both = paired(rows, which)
-        texts = both.select("_rid", F.explode(F.array(one(0, "_text"), one(1, "_edited"))).alias("x")).select("_rid", "x.kind", F.col("x.text").alias("_text"))
+        both = paired(texts, which)
+        sides = both.select("_rid", F.explode(F.array(one(0, "_text"), one(1, "_edited"))).alias("x")).select("_rid", "x.kind", F.col("x.text").alias("_text"))
         of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-        made = signatures(texts, ["_rid", "kind"], size=size, bound=limit).groupBy("_rid").agg(
+        made = signatures(sides, ["_rid", "kind"], size=size, bound=limit).groupBy("_rid").agg(
             of(0, "signature").alias("fingerprint"), of(1, "signature").alias("edited_fingerprint"), F.max("open").alias("open")
         )
         facts = both.select("_rid", F.length("_text").cast("long").alias("n_chars"), F.unhex(F.sha2("_edited", 256)).alias("edited_sha256"))
@@ -129,10 +137,14 @@ def signed(rows: DataFrame, following: DataFrame, size: int = SIZE, bound: float
 def report(docs: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame:
     """A row per document: fingerprints of its text and of the edited text,
     whose last half is the next document's beginning, and their likeness."""
-    rows = with_row_key(docs.select("doc_id", text_or_empty().alias("_text")))
-    rows = written(rows.withColumn("_hash", F.xxhash64("_text")).withColumn("_chars", F.length("_text")), "fingerprint-rows")
-    following = written(successors(rows), "fingerprint-next")
-    found = signed(rows, following, size, bound)
+    rows = with_row_key(docs.select("doc_id", text_or_empty().alias("_text"))).withColumn("_hash", F.xxhash64("_text"))
+    keys = written(rows.select("_rid", "doc_id", "_hash", F.length("_text").alias("_chars")), "fingerprint-keys")
+    following = written(successors(keys), "fingerprint-next")
+    found = signed(rows.select("_rid", "_hash", "_text"), following, size, bound)
+    if found.count() != keys.count():
+        rows = written(rows, "fingerprint-rows")
+        following = written(successors(rows.withColumn("_chars", F.length("_text"))), "fingerprint-next")
+        found = signed(rows.select("_rid", "_hash", "_text"), following, size, bound)
     wanted = following.select(F.col("_rid").alias("_to"), "doc_id", F.col("_next").alias("_from"))
     near = found.select("_rid", F.col("fingerprint").alias("_following")).join(wanted, F.col("_rid") == F.col("_from")).select("_to", "doc_id", "_following")
     text = lambda c: F.lower(F.hex(c)).alias(c)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from axisframe.llm import near_dedup, packing, source_mix, weighted_sampling
 
@@ -261,6 +262,17 @@ def test_fingerprint_edges(documents, odd):
     assert one["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and one["near_next"] == 1.0
 
 
+def test_fingerprints_of_a_source_that_is_dealt_out_otherwise(documents, odd, monkeypatch):
+    """Row keys that differ from read to read change no result."""
+    rows = [(i // 2, f"word{i % 7} and {i % 3} more " * (i % 5), "s") for i in range(40)]
+    steady = [weighted_sampling.report(df) for df in (documents(rows), odd)]
+    steady = [sorted(map(str, df.collect())) for df in steady]
+    moving = F.monotonically_increasing_id() + F.unix_micros(F.current_timestamp())
+    monkeypatch.setattr(weighted_sampling, "with_row_key", lambda df: df.withColumn("_rid", moving))
+    for df, want in zip((documents(rows), odd), steady, strict=True):
+        assert sorted(map(str, weighted_sampling.report(df).collect())) == want
+
+
 def test_collision_rate_is_generalised_jaccard(documents):
     """Over many coordinates the rate comes near the exact value."""
     rng = random.Random(1)
