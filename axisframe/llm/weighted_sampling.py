@@ -101,31 +101,33 @@ def successors(rows: DataFrame) -> DataFrame:
 
 
 def paired(texts: DataFrame, following: DataFrame) -> DataFrame:
-    """``_rid, _text, _edited`` of the rows in ``following``, from ``texts``
-    (``_rid, _hash, _text``). All columns are used wherever this is, so that
+    """``_rid, _hash, _text, _edited`` of the rows in ``following``, from
+    ``texts`` (``_rid, _hash, _text``), dealt by the first two. All columns are used wherever this is, so that
     its exchanges are made once."""
     wanted = following.select(F.col("_rid").alias("_to"), F.col("_hash").alias("_to_hash"), F.col("_next").alias("_from"), F.col("_next_hash").alias("_from_hash"), "_half")
     wanted = small(wanted, BROADCAST_ROWS)
     heads = texts.join(wanted, (F.col("_rid") == F.col("_from")) & (F.col("_hash") == F.col("_from_hash")))
     heads = heads.select("_to", "_to_hash", "_half", F.expr("substring(_text, 1, _half)").alias("_head"))
     edited = F.expr("concat(substring(_text, 1, length(_text) - _half), _head)").alias("_edited")
-    return texts.join(heads, (F.col("_rid") == F.col("_to")) & (F.col("_hash") == F.col("_to_hash"))).select("_rid", "_text", edited)
+    return texts.join(heads, (F.col("_rid") == F.col("_to")) & (F.col("_hash") == F.col("_to_hash"))).select("_rid", "_hash", "_text", edited)
 
 
 def signed(texts: DataFrame, following: DataFrame, size: int = SIZE, bound: float = BOUND) -> DataFrame:
-    """``_rid``, ``n_chars``, ``edited_sha256`` and the signatures
+    """``_rid``, ``_hash``, ``n_chars``, ``edited_sha256`` and the signatures
     ``fingerprint`` and ``edited_fingerprint``; written."""
 
+    row = ["_rid", "_hash"]
+
     def side_by_side(which: DataFrame, limit: float | None) -> DataFrame:
         one = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("text"))
         both = paired(texts, which)
-        sides = both.select("_rid", F.explode(F.array(one(0, "_text"), one(1, "_edited"))).alias("x")).select("_rid", "x.kind", F.col("x.text").alias("_text"))
+        sides = both.select(*row, F.explode(F.array(one(0, "_text"), one(1, "_edited"))).alias("x")).select(*row, "x.kind", F.col("x.text").alias("_text"))
         of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-        made = signatures(sides, ["_rid", "kind"], size=size, bound=limit).groupBy("_rid").agg(
+        made = signatures(sides, [*row, "kind"], size=size, bound=limit).groupBy(*row).agg(
             of(0, "signature").alias("fingerprint"), of(1, "signature").alias("edited_fingerprint"), F.max("open").alias("open")
         )
-        facts = both.select("_rid", F.length("_text").cast("long").alias("n_chars"), F.unhex(F.sha2("_edited", 256)).alias("edited_sha256"))
-        return written(made.join(facts, "_rid"), "fingerprints")
+        facts = both.select(*row, F.length("_text").cast("long").alias("n_chars"), F.unhex(F.sha2("_edited", 256)).alias("edited_sha256"))
+        return written(made.join(facts, row), "fingerprints")
 
     quick = side_by_side(following, bound)
     if not quick.filter("open").limit(1).count():
