@@ -52,6 +52,23 @@ def small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def looked_up(rows: DataFrame, key: str, facts: DataFrame, max_rows: int, hot: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``facts``, which has one row for each ``_key`` and
+    the number of ``rows`` of that key in ``_size``, which are left out.
+
+    ``facts`` of up to ``max_rows`` rows are broadcast. Of more, only those of
+    keys with over ``hot`` rows are, at most a ``hot``-th of the rows; the
+    others shuffle, so that no key makes a task large. Both are written tables.
+    """
+    plain = lambda found: found.drop("_key", "_size")
+    same = F.col(key) == F.col("_key")
+    if facts.limit(max_rows + 1).count() <= max_rows:
+        return plain(rows.join(F.broadcast(facts), same, how))
+    many = small(facts.filter(F.col("_size") > hot), max_rows)
+    rest = rows.join(many.select("_key"), same, "left_anti").join(facts.filter(F.col("_size") <= hot), same, how)
+    return plain(rows.join(many, same)).unionByName(plain(rest))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

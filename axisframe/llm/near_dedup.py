@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import boxed, small, text_or_empty, unboxed, with_row_key, written
+from .common import boxed, looked_up, small, text_or_empty, unboxed, with_row_key, written
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
@@ -48,6 +48,8 @@ LEAST_EQUAL = int(SIZE * PERCENT / 100 - 5 * (SIZE * 0.8 * 0.2) ** 0.5)
 BLOCK = 800
 #: Rows of at most some 40 bytes, so 8 MB of a broadcast.
 BROADCAST_ROWS = 200_000
+#: Rows of one key beyond which a join does not leave them to one task.
+HOT_ROWS = 20_000
 
 
 class _WordHashes(dict):
@@ -174,24 +176,38 @@ def _near(batch: pd.DataFrame, width: int) -> pd.DataFrame:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
-    """The pairs (``a``, ``b``) of row keys whose texts are near duplicates."""
+    """The pairs (``a``, ``b``) of row keys whose texts are near duplicates.
+
+    ``b`` may be in very many pairs: of such with over ``HOT_ROWS`` the text is
+    repeated, a salt for each ``HOT_ROWS`` of its pairs, and each of these goes
+    to one salt. ``pairs`` is a written table."""
     needed = small(pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct(), BROADCAST_ROWS)
-    side = lambda key, name: texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi").select(F.col("_rid").alias(key), F.col("_text").alias(name))
-    full = pairs.join(side("_a", "ta"), F.col("a") == F.col("_a")).drop("_a")
-    full = full.join(side("_b", "tb"), F.col("b") == F.col("_b")).drop("_b")
+    own = texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi")
+    many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > HOT_ROWS)
+    many = small(written(many.select(F.col("b").alias("_hot"), F.ceil(F.col("_size") / HOT_ROWS).alias("_salts")), "hot"), BROADCAST_ROWS)
+    salts = F.coalesce("_salts", F.lit(1))
+    dealt = pairs.join(many, F.col("b") == F.col("_hot"), "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).alias("salt"))
+    centres = own.join(many, F.col("_rid") == F.col("_hot"), "left")
+    centres = centres.select(F.col("_rid").alias("_b"), F.col("_text").alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
+    full = dealt.join(own.select(F.col("_rid").alias("_a"), F.col("_text").alias("ta")), F.col("a") == F.col("_a")).drop("_a")
+    full = full.join(centres, (F.col("b") == F.col("_b")) & (F.col("salt") == F.col("_salt"))).select("a", "b", "ta", "tb")
     return full.mapInPandas(_linked(width), "a long, b long")
 
 
 def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     """``node, root`` for all ends of ``edges`` (``a``, ``b``): the root is the
     smallest node reachable. Large-star and small-star rounds alternate until
-    the edges no longer change; then they are stars around the roots."""
+    the edges no longer change; then they are stars around the roots.
+
+    A node's least neighbour is broadcast where twice the edges, so all nodes
+    too, are at most ``BROADCAST_ROWS``; beyond that for the nodes of over
+    ``HOT_ROWS`` edges only."""
 
-    def round_(pairs: DataFrame, both: bool) -> DataFrame:
+    def round_(pairs: DataFrame, both: bool, few: bool) -> DataFrame:
         # pairs (u, v) with u > v; for large stars a node also sees its larger neighbours
         seen = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if both else pairs
-        least = seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("k", "m").alias("m"))
-        joined = seen.join(least, F.col("u") == F.col("k"))
+        least = seen.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_size")).select(F.col("u").alias("_key"), F.least("u", "m").alias("m"), "_size")
+        joined = seen.join(F.broadcast(least), F.col("u") == F.col("_key")) if few else looked_up(seen, "u", written(least, "least"), BROADCAST_ROWS, HOT_ROWS)
         if both:  # larger neighbours go to the least
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         else:  # smaller neighbours and the node itself go to the least
@@ -204,7 +220,9 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     pairs = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), name)
     before = mark(pairs)
     while True:
-        pairs = written(round_(round_(pairs, True), False), name)
+        few = 2 * before[0] <= BROADCAST_ROWS
+        half = round_(pairs, True, few)
+        pairs = written(round_(half if few else written(half, name), False, few), name)
         after = mark(pairs)
         if after == before:
             break
@@ -249,13 +267,15 @@ def grouped(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", width:
     ids = rows.select("_rid", F.col(doc_id).alias("_id"))
     full = signed.filter("n > 0")
     owners = ids.join(full.select(F.col("_rid").alias("_r"), "cid"), F.col("_rid") == F.col("_r")).drop("_r")
-    by_class = written(owners.groupBy("cid").agg(F.min("_rid").alias("c"), F.min(_order(F.col("_id"))).alias("first")), "classes")
+    sizes = F.count(F.lit(1)).alias("_size")
+    by_class = written(owners.groupBy("cid").agg(F.min("_rid").alias("c"), F.min(_order(F.col("_id"))).alias("first"), sizes), "classes")
     reps = written(full.select("_rid", "n", "sig").join(by_class.select("c"), F.col("_rid") == F.col("c")).select("c", "n", "sig"), "representatives")
-    roots = written(components(written(links(reps, texts, width), "links")), "roots")
-    joined = by_class.join(roots, F.col("c") == F.col("node"), "left").withColumn("root", F.coalesce("root", "c"))
-    least = joined.groupBy("root").agg(F.min("first").alias("least")).withColumnRenamed("root", "_root")
-    firsts = written(joined.join(least, F.col("root") == F.col("_root")).select(F.col("cid").alias("_cid"), F.col("least")), "firsts")
-    whole = signed.select("_rid", "n", "cid").join(firsts, F.col("cid") == F.col("_cid"), "left")
+    roots = components(written(links(reps, texts, width), "links"))
+    linked = written(by_class.select("cid", "c", "first").join(roots, F.col("c") == F.col("node")).select("cid", "root", "first"), "linked")
+    least = written(linked.groupBy(F.col("root").alias("_key")).agg(F.min("first").alias("least"), sizes), "least")
+    led = looked_up(linked, "root", least, BROADCAST_ROWS, HOT_ROWS).select(F.col("cid").alias("_cid"), "least")
+    firsts = by_class.join(led, F.col("cid") == F.col("_cid"), "left").select(F.col("cid").alias("_key"), F.coalesce("least", "first").alias("least"), "_size")
+    whole = looked_up(signed.select("_rid", "n", "cid"), "cid", written(firsts, "firsts"), BROADCAST_ROWS, HOT_ROWS, "left")
     return whole.select("_rid", "n", F.col("least.id").alias("first_id"), F.col("least.rid").alias("first_rid"))
 
 

@@ -149,13 +149,14 @@ def test_sequences_hold_the_tokens(documents):
 # -- near duplicates
 
 
-def shingles(text):
+def shingles(text, width=2):
     w = words((text or "").translate({i: i + 32 for i in range(65, 91)}))
-    return frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w)
+    k = min(width, len(w))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
 
 
-def components(rows):
-    sets = [shingles(t) for _, t in rows]
+def components(rows, width=2):
+    sets = [shingles(t, width) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
@@ -187,9 +188,11 @@ def copies_of(seed, n, edits, length=120):
     return out
 
 
-@pytest.mark.parametrize("block", [4, 1000])
-def test_near_duplicates(documents, odd, none, monkeypatch, block):
+@pytest.mark.parametrize("block, broadcast, hot", [(4, 200_000, 20_000), (1000, 200_000, 20_000), (1000, 5, 3)])
+def test_near_duplicates(documents, odd, none, monkeypatch, block, broadcast, hot):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(near_dedup, "HOT_ROWS", hot)
     texts = copies_of(1, 40, 12) + copies_of(2, 30, 20) + ["One two", "one TWO", "one", "", None, "ONE"] + [f"unique text number {i} of many" for i in range(20)]
     order = list(range(len(texts)))
     random.Random(3).shuffle(order)
@@ -203,8 +206,11 @@ def test_near_duplicates(documents, odd, none, monkeypatch, block):
 
 def test_one_row_of_a_group_stays(documents, odd):
     df = documents([(i, t, "s") for i, t in enumerate(copies_of(1, 20, 3) * 2 + ["", "alone here"])])
-    kept = [r["doc_id"] for r in near_dedup.keep_rows(df).collect()]
-    assert sorted(kept) == sorted({c for _, _, c in components([(r["doc_id"], r["text"]) for r in df.collect()])})
+    rows = [(r["doc_id"], r["text"]) for r in df.collect()]
+    kept = [r["doc_id"] for r in near_dedup.keep_rows(df, 2).collect()]
+    assert sorted(kept) == sorted({c for _, _, c in components(rows)})
+    stage = [r["doc_id"] for r in near_dedup.keep_rows(df).collect()]  # five words, as the pipeline's stage
+    assert sorted(stage) == sorted({c for _, _, c in components(rows, 5)})
     assert near_dedup.keep_rows(odd).columns == odd.columns
     assert near_dedup.keep_rows(odd).filter("doc_id = 3").count() == 1
 
