@@ -235,9 +235,13 @@ def links(classes: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     ``sig``) just as all pairs near enough would."""
     key = lambda i: F.shiftleft(F.xxhash64(i, F.substring("sig", i * ROWS + 1, F.lit(ROWS))), BAND_BITS).bitwiseOR(i.cast("long"))
     places = classes.select("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("bucket"))
-    shared = places.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).filter("least < most")
-    shared = written(shared.select(F.col("bucket").alias("_bucket"), "least"), "buckets")
-    members = written(places.join(small(shared, BROADCAST_ROWS), F.col("bucket") == F.col("_bucket")).select("bucket", "c", "least"), "members")
+    facts = [F.min("c").alias("least"), F.max("c").alias("most"), F.bit_xor("c").alias("odd"), F.count(F.lit(1)).alias("_size")]
+    shared = written(places.groupBy(F.col("bucket").alias("_key")).agg(*facts).filter("least < most"), "buckets")
+    # of up to three classes all follow from these facts, so that only larger buckets are looked up again
+    few = F.when(F.col("_size") == 2, F.array("least", "most")).otherwise(F.array("least", "most", F.col("least").bitwiseXOR(F.col("most")).bitwiseXOR(F.col("odd"))))
+    members = shared.filter("_size <= 3").select(F.col("_key").alias("bucket"), F.explode(few).alias("c"), "least")
+    large = looked_up(places, "bucket", shared.filter("_size > 3").select("_key", "least", "_size"), BROADCAST_ROWS, HOT_ROWS)
+    members = written(members.unionByName(large.select("bucket", "c", "least")), "members")
     stars = written(confirmed(written(members.filter("c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "pairs"), texts, width), "links")
     roots = components(stars).select(F.col("node").alias("_node"), "root")
     placed = members.join(small(roots, BROADCAST_ROWS), F.col("c") == F.col("_node"), "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
