@@ -8,11 +8,12 @@ shifts ``pi`` circularly. ``BANDS`` bands of ``ROWS`` coordinates name buckets:
 a pair at the threshold of 0.8 misses all of them with probability 1e-7.
 
 No bucket's pairs are written out. First every class of a bucket is checked
-against the smallest one only; what that links is contracted to components.
-Buckets that then still hold several components, few as a rule, are compared in
-blocks inside tasks: of pairs of different components that meet in no earlier
-bucket and whose signatures come near the threshold the full sets are compared
-there, and only links that join components leave.
+against the smallest one only; what that links is contracted to components,
+and the smallest one's pairs are settled. Where the others of a bucket are then
+still in several components, they are compared in blocks inside tasks: of pairs
+of different components that meet in no earlier bucket and whose signatures come
+near the threshold the full sets are compared there, and only links that join
+components leave.
 All links are confirmed on the full sets of both texts, and components are
 found by alternating large-star and small-star rounds on tables.
 
@@ -181,15 +182,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     ``b`` may be in very many pairs: of such with over ``HOT_ROWS`` the text is
     repeated, a salt for each ``HOT_ROWS`` of its pairs, and each of these goes
     to one salt. ``pairs`` is a written table."""
-    needed = small(pairs.select(F.explode(F.array("a", "b")).alias("_need")).distinct(), BROADCAST_ROWS)
-    own = texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi")
+
+    def own(end: str) -> DataFrame:
+        needed = small(pairs.select(F.col(end).alias("_need")).distinct(), BROADCAST_ROWS)
+        return texts.join(needed, F.col("_rid") == F.col("_need"), "left_semi")
+
     many = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > HOT_ROWS)
     many = small(written(many.select(F.col("b").alias("_hot"), F.ceil(F.col("_size") / HOT_ROWS).alias("_salts")), "hot"), BROADCAST_ROWS)
     salts = F.coalesce("_salts", F.lit(1))
     dealt = pairs.join(many, F.col("b") == F.col("_hot"), "left").select("a", "b", F.pmod(F.xxhash64("a"), salts).alias("salt"))
-    centres = own.join(many, F.col("_rid") == F.col("_hot"), "left")
+    centres = own("b").join(many, F.col("_rid") == F.col("_hot"), "left")
     centres = centres.select(F.col("_rid").alias("_b"), F.col("_text").alias("tb"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
-    full = dealt.join(own.select(F.col("_rid").alias("_a"), F.col("_text").alias("ta")), F.col("a") == F.col("_a")).drop("_a")
+    full = dealt.join(own("a").select(F.col("_rid").alias("_a"), F.col("_text").alias("ta")), F.col("a") == F.col("_a")).drop("_a")
     full = full.join(centres, (F.col("b") == F.col("_b")) & (F.col("salt") == F.col("_salt"))).select("a", "b", "ta", "tb")
     return full.mapInPandas(_linked(width), "a long, b long")
 
@@ -237,12 +241,12 @@ def links(classes: DataFrame, texts: DataFrame, width: int = 2) -> DataFrame:
     places = classes.select("c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), key)).alias("bucket"))
     facts = [F.min("c").alias("least"), F.max("c").alias("most"), F.bit_xor("c").alias("odd"), F.count(F.lit(1)).alias("_size")]
     shared = written(places.groupBy(F.col("bucket").alias("_key")).agg(*facts).filter("least < most"), "buckets")
-    # of up to three classes all follow from these facts, so that only larger buckets are looked up again
-    few = F.when(F.col("_size") == 2, F.array("least", "most")).otherwise(F.array("least", "most", F.col("least").bitwiseXOR(F.col("most")).bitwiseXOR(F.col("odd"))))
+    # members but the smallest; of up to three classes they follow from these facts, so that only larger buckets are looked up again
+    few = F.when(F.col("_size") == 2, F.array("most")).otherwise(F.array("most", F.col("least").bitwiseXOR(F.col("most")).bitwiseXOR(F.col("odd"))))
     members = shared.filter("_size <= 3").select(F.col("_key").alias("bucket"), F.explode(few).alias("c"), "least")
     large = looked_up(places, "bucket", shared.filter("_size > 3").select("_key", "least", "_size"), BROADCAST_ROWS, HOT_ROWS)
-    members = written(members.unionByName(large.select("bucket", "c", "least")), "members")
-    stars = written(confirmed(written(members.filter("c > least").select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "pairs"), texts, width), "links")
+    members = written(members.unionByName(large.filter("c > least").select("bucket", "c", "least")), "members")
+    stars = written(confirmed(written(members.select(F.col("c").alias("a"), F.col("least").alias("b")).distinct(), "pairs"), texts, width), "links")
     roots = components(stars).select(F.col("node").alias("_node"), "root")
     placed = members.join(small(roots, BROADCAST_ROWS), F.col("c") == F.col("_node"), "left").select("bucket", "c", F.coalesce("root", "c").alias("root"))
     placed = written(placed, "placed")

@@ -215,6 +215,32 @@ def test_one_row_of_a_group_stays(documents, odd):
     assert near_dedup.keep_rows(odd).filter("doc_id = 3").count() == 1
 
 
+def test_settled_pairs_are_not_compared_again(documents, monkeypatch):
+    """Of a bucket of two classes the one pair is checked already; of three, only that of the larger ones is not."""
+    counts, written = Counter(), near_dedup.written
+
+    def counted(df, name):
+        out = written(df, name)
+        counts[name] += out.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "written", counted)
+    rng, texts = random.Random(7), []
+    for group in range(12):  # 10 of 120 words differ: likeness 0.71, buckets in common, no link
+        base = [f"g{group}w{k}" for k in range(120)]
+        texts += [" ".join(base), " ".join(f"x{group}" if k % 12 == 5 else w for k, w in enumerate(base))]
+    rows = list(enumerate(texts))
+    report = lambda: sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.report(documents([(i, t, "s") for i, t in rows])).collect())
+    assert report() == sorted(components(rows)) == [(i, 119, i) for i in range(24)]
+    assert counts["pairs"] == 12 and counts["rest"] == 0
+    for group in range(12):  # a third text, linked with the second only
+        changed = texts[2 * group + 1].split()
+        changed[rng.choice((0, 119))] = "y"
+        rows.append((24 + group, " ".join(changed)))
+    assert report() == sorted(components(rows))
+    assert {c for _, _, c in components(rows)} == set(range(24))
+
+
 def test_signature_is_circulant():
     """Coordinate k is the first one of the set shifted by k."""
     import xxhash
